@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, near_dedup, quality_rules, token_counts
 from .shared import tokenizer_path
 
 
@@ -22,5 +22,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir).select("doc_id", "text", "source")).drop("source")
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), size=3, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts, op9_quality_rules, op10_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python works on this many bytes of text at once (a longer text is one batch by itself).
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +22,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts of any length pass through Python workers of bounded memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
