@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, near_dedup, quality_rules, token_counts, token_files
+from . import bpe_codec, language_id, near_dedup, quality_rules, token_counts, token_files
 from .shared import tokenizer_path
 
 
@@ -22,6 +22,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -34,5 +39,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts, op8_token_files, op9_quality_rules, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts, op6_language_id, op8_token_files, op9_quality_rules, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
