@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, language_id, near_dedup, quality_rules, token_counts, token_files
+from . import bpe_codec, language_id, near_dedup, quality_rules, token_counts, token_files, toxicity
 from .shared import tokenizer_path
 
 
@@ -27,6 +27,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.judge(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -39,5 +44,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts, op6_language_id, op8_token_files, op9_quality_rules, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts, op6_language_id, op7_toxicity, op8_token_files, op9_quality_rules, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
