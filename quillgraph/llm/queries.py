@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, language_id, near_dedup, quality_rules, token_counts, token_files, toxicity
-from .shared import tokenizer_path
+from . import bpe_codec, language_id, near_dedup, packing, quality_rules, token_counts, token_files, topk, toxicity
+from .shared import materialise, tokenizer_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(materialise(counted, "token-counts"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -44,5 +53,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op4_token_counts, op6_language_id, op7_toxicity, op8_token_files, op9_quality_rules, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op2_packing, op3_topk, op4_token_counts, op6_language_id, op7_toxicity, op8_token_files, op9_quality_rules, op10_near_dedup)}
+#: The scores of op3_topk.
+TOPK_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+ORACLE_SQL: dict[str, str] = {"op3_topk": TOPK_SQL, "op9_quality_rules": quality_rules.SQL}
