@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, near_dedup, packing, quality_rules, token_counts, token_files, topk, toxicity
+from . import bpe_codec, language_id, line_dedup, near_dedup, packing, quality_rules, token_counts, token_files, topk, toxicity
 from .shared import materialise, tokenizer_path
 
 
@@ -31,6 +32,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -53,7 +59,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op2_packing, op3_topk, op4_token_counts, op6_language_id, op7_toxicity, op8_token_files, op9_quality_rules, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op2_packing, op3_topk, op4_token_counts, op5_line_dedup, op6_language_id, op7_toxicity, op8_token_files, op9_quality_rules, op10_near_dedup)}
 #: The scores of op3_topk.
 TOPK_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
