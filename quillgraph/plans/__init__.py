@@ -1,7 +1,7 @@
 """Named queries over the corpus and their SQL."""
 
-from . import overlap, voice
+from . import argument, intervals, overlap, relational, rules, voice
 
-_MODULES = (overlap, voice)
+_MODULES = (overlap, voice, rules, argument, intervals, relational)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
