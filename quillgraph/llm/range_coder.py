@@ -9,7 +9,8 @@ An id is coded as one of four classes: the order-2 id, the order-1 id, an id tha
 id (uniform). The classes' frequencies mix two adaptive counts: of the confidences and agreement of the predictions, and of
 the two last classes. One step of the coder narrows the range by the class and then by the id within it.
 
-The range has 48 bits and is refilled 16 bits at a time; carries stay in the encoder's digits and are resolved at the end.
+The range has 48 bits, 32 at least, and is refilled 16 bits at a time; carries stay in the encoder's digits and are resolved
+at the end. Counts rise by 2, so a block's total stays below 2**15 and no id's share of the range is empty.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ class _Model:
         return out
 
     def update(self, x: np.ndarray, kind: np.ndarray) -> None:
-        self.by_trust[kind * self.trusts + self.ca] += 8
-        self.by_past[kind * self.pasts + self.cb] += 8
+        self.by_trust[kind * self.trusts + self.ca] += 2
+        self.by_past[kind * self.pasts + self.cb] += 2
         for table, slot, guess, trust in ((self.t1, self.s1, self.q1, self.c1), (self.t2, self.s2, self.q2, self.c2)):
             table[slot] = x + (np.where(x == guess, np.minimum(trust + 1, 3), 1) << ID_BITS)
         self.past = (self.past * 4 + kind) & 15
@@ -84,8 +85,8 @@ def _rebuild_at(t: int) -> bool:
     return t >= _FIRST and t & (t - 1) == 0
 
 
-def encode(ids: np.ndarray) -> list[bytes]:
-    """ids (steps x lanes, below 2**ID_BITS) -> the code of each lane."""
+def encode(ids: np.ndarray, bits: int) -> list[bytes]:
+    """ids (steps x lanes, below 2**bits; bits up to ID_BITS) -> the code of each lane."""
     steps, lanes = ids.shape
     m = _Model(lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
@@ -109,7 +110,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
         low += r * m.cum.take(at)
         span = r * m.f.take(at)
         third, fourth = kind == 2, kind == 3
-        r = span >> (third * m.shift + fourth * ID_BITS)
+        r = span >> (third * m.shift + fourth * bits)
         begin = fourth * x
         if m.shift:
             begin += third * start[t - base]
@@ -136,8 +137,8 @@ def encode(ids: np.ndarray) -> list[bytes]:
     return [words[i, 1 : used[i]].tobytes() for i in range(lanes)]
 
 
-def decode(codes: list[bytes], steps: int) -> np.ndarray:
-    """The ids (steps x lanes) of codes that encode() made."""
+def decode(codes: list[bytes], steps: int, bits: int) -> np.ndarray:
+    """The ids (steps x lanes) of codes that encode() made with the same bits."""
     lanes = len(codes)
     m = _Model(lanes)
     sizes = np.fromiter((len(c) // 2 for c in codes), np.int64, lanes)
@@ -159,7 +160,7 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
         off -= r * m.cum.take(at)
         span = r * m.f.take(at)
         third, fourth = kind == 2, kind == 3
-        shift = third * m.shift + fourth * ID_BITS
+        shift = third * m.shift + fourth * bits
         r = span >> shift
         v = np.minimum(off // r, (1 << shift) - 1)
         begin = fourth * v

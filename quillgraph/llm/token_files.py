@@ -2,12 +2,12 @@
 
 A file is a row of segments, each followed by one newline byte. A segment, little-endian:
 
-    magic b"QGTF", version u32, bytes of the whole segment u64, documents u64, ids u64, blocks u32
+    magic b"QGTF", version u32, bytes of the whole segment u64, documents u64, ids u64, blocks u32, bits of an id u32
     documents: doc_id i64 each, then a byte each that is 1 for a null id, then ids u32 each
     blocks:    ids u32, bytes u32 and crc32 of the ids u32, each
     the blocks' codes, one after the other
 
-The ids of a segment's documents lie in one stream, which is cut into blocks of BLOCK ids; a block's model and code depend on
+The ids of a segment's documents lie in one stream, which is cut into blocks of BLOCK ids (below 2**20); a block's model and code depend on
 no other block's. The crc32 is of the block's ids as little-endian unsigned 32-bit integers.
 """
 
@@ -27,7 +27,7 @@ from .bpe import memo
 from .shared import bound_batches, materialise, scratch_path, text_slices
 
 MAGIC, VERSION = b"QGTF", 1
-_HEAD = struct.Struct("<4sIQQQI")
+_HEAD = struct.Struct("<4sIQQQII")
 SEGMENT = range_coder.BLOCK * range_coder.LANES
 
 
@@ -42,13 +42,14 @@ def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes
     steps = min(block, len(ids))
     padded = np.zeros(n * block if n > 1 else steps, np.int32)
     padded[: len(ids)] = ids
-    codes = range_coder.encode(padded.reshape(n, steps).T.copy()) if n else []
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    codes = range_coder.encode(padded.reshape(n, steps).T.copy(), bits) if n else []
     raw = ids.astype("<u4")
     table = np.array([(len(raw[k : k + block]), len(c), zlib.crc32(raw[k : k + block].tobytes())) for k, c in zip(range(0, len(raw), block), codes, strict=True)], "<u4").reshape(-1, 3)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     body = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), nulls.tobytes(), sizes.astype("<u4").tobytes(), table.tobytes(), *codes]
     length = _HEAD.size + sum(map(len, body))
-    return _HEAD.pack(MAGIC, VERSION, length, len(doc_ids), len(ids), n) + b"".join(body)
+    return _HEAD.pack(MAGIC, VERSION, length, len(doc_ids), len(ids), n, bits) + b"".join(body)
 
 
 def unpack(content: bytes, name: str = "") -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
@@ -57,7 +58,7 @@ def unpack(content: bytes, name: str = "") -> Iterator[tuple[list[int | None], n
     while at < len(view):
         if len(view) - at < _HEAD.size:
             raise DamagedFile(f"{name}: cut off at byte {at}")
-        magic, version, length, docs, total, n = _HEAD.unpack_from(view, at)
+        magic, version, length, docs, total, n, bits = _HEAD.unpack_from(view, at)
         if magic != MAGIC or version != VERSION:
             raise DamagedFile(f"{name}: not a token file at byte {at}")
         if at + length > len(view):
@@ -73,7 +74,7 @@ def unpack(content: bytes, name: str = "") -> Iterator[tuple[list[int | None], n
         ends = p + np.cumsum(table[:, 1])
         codes = [bytes(view[e - s : e]) for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)]
         steps = int(table[:, 0].max(initial=0))
-        ids = range_coder.decode(codes, steps).T.reshape(-1)[:total] if n else np.empty(0, np.int32)
+        ids = range_coder.decode(codes, steps, bits).T.reshape(-1)[:total] if n else np.empty(0, np.int32)
         raw, q = ids.astype("<u4"), 0
         for k, (size, _, crc) in enumerate(table.tolist()):
             if zlib.crc32(raw[q : q + size].tobytes()) != crc:
