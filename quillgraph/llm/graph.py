@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
@@ -38,34 +38,40 @@ def components(links: DataFrame) -> DataFrame:
             return mapping
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Members of a bucket that all its members are held against.
+LEADERS = 3
+
+
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the components of all verified links between nodes that share a bucket.
 
     buckets: (bucket, node); nodes: (node, *payload), a row for each node; near(x, y): a condition on the payloads of the
     frames aliased x and y that no verified link violates; verify(pairs (a, b)) keeps the pairs that are links.
 
-    First every member is held against the smallest member of its bucket, which gives most links of a large group of copies
-    by as many pairs as it has members. Then, only in buckets whose members are not yet one component, all pairs across
-    components are tested by `near` inside the join. Pairs within a component need no test, so no link that matters is lost.
+    First every member is held against the LEADERS members of its bucket that share most with others, which links most of a
+    large group of copies by a few times as many pairs as it has members. Then, only in buckets whose members are not yet one
+    component, all pairs across components are tested inside the join. Pairs within a component need no test, so no link that
+    matters is lost.
     """
     own = Window.partitionBy("bucket")
-    members = buckets.select("*", F.min("node").over(own).alias("lead"), F.max("node").over(own).alias("last")).where("lead != last")
-    members = materialise(members.select("bucket", "node", "lead"), "buckets")
-    stars = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(verify(_tested(stars, nodes, near)).select("a", "b"), "star-links")
+    members = buckets.select("*", F.count("*").over(own).alias("size")).where("size > 1")
+    members = materialise(members, "buckets")
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = members.select("bucket", "node").join(degree, "node")
+    ranked = ranked.select("bucket", "node", F.row_number().over(own.orderBy(F.desc("degree"), "node")).alias("place"))
+    ranked = materialise(ranked, "ranked")
+    leaders = ranked.where(F.col("place") <= LEADERS)
+    # at most LEADERS rows a bucket on one side
+    led = leaders.groupBy("bucket").agg(*[F.max(F.when(F.col("place") == k, F.col("node"))).alias(f"l{k}") for k in range(1, LEADERS + 1)])
+    stars = ranked.join(led, "bucket").select("node", F.explode(F.array(*[f"l{k}" for k in range(1, LEADERS + 1)])).alias("lead")).where("lead != node")
+    stars = materialise(stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "stars")
+    tested = stars.join(nodes.alias("y"), F.col("b") == F.col("y.node")).join(nodes.alias("x"), F.col("a") == F.col("x.node")).where(near("x", "y"))
+    links = materialise(verify(tested.select("a", "b")).select("a", "b"), "star-links")
     roots = components(links)
     labelled = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.select("*", F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi")).where("lo != hi").select("bucket", "node", "root")
     mixed = materialise(mixed.join(nodes, "node"), "mixed")
     across = mixed.alias("x").join(mixed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & near("x", "y"))
-    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(verify(pairs).select("a", "b"), "cross-links")
-    if more.isEmpty():
-        return roots
-    return components(links.union(more))
-
-
-def _tested(pairs: DataFrame, nodes: DataFrame, near: Callable[[str, str], F.Column]) -> DataFrame:
-    """The pairs (a, b) whose payloads are near."""
-    joined = pairs.join(nodes.alias("y"), F.col("b") == F.col("y.node")).join(nodes.alias("x"), F.col("a") == F.col("x.node"))
-    return joined.where(near("x", "y")).select("a", "b")
+    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = materialise(verify(pairs.join(stars, ["a", "b"], "left_anti")).select("a", "b"), "cross-links")
+    return roots if more.isEmpty() else components(links.union(more))

@@ -70,7 +70,7 @@ def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     distinct = materialise(distinct.select(*key, "sim", "chars", "at", F.monotonically_increasing_id().alias("node")), "different-lines")
     nodes = distinct.select("node", "sim", "chars")
 
-    def near(x: str, y: str, close: bool) -> Column:
+    def near(x: str, y: str) -> Column:
         bits = F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim")))
         a, b = F.col(f"{x}.chars"), F.col(f"{y}.chars")
         return (bits <= DISTANCE) & (F.least(a, b) >= similarity * F.greatest(a, b))

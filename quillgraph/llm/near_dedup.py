@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import bucket_components
@@ -18,6 +18,8 @@ ROWS, BANDS = 5, 36
 SAMPLES = ROWS * BANDS
 #: Bits of an odd sketch, as 16 longs.
 BITS = 1024
+#: Bits of the odd sketch of a whole set.
+PARITY = 2048
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -54,6 +56,22 @@ def odd_sketches(minima: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(n, BITS // 64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches of whole sets (not empty): every shingle flips one of PARITY bits.
+
+    The XOR of two has no more bits than shingles that are in one set only; of links those are at most
+    (1 - similarity) / (1 + similarity) of both sizes' sum, so more bits rule a link out for certain.
+    """
+    owner = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
+    at = (np.concatenate(sets) >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64) + owner * PARITY
+    odd = (np.bincount(at, minlength=len(sets) * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sets), PARITY // 64)
+
+
+def _differing(x: str, y: str, name: str, bits: int) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.{name}")[i].bitwiseXOR(F.col(f"{y}.{name}")[i])) for i in range(bits // 64)), F.lit(0))
+
+
 def difference_limit(similarity: float) -> int:
     """Popcount of the XOR of two sketches that sets of at least this similarity exceed with probability below 1e-9.
 
@@ -82,9 +100,9 @@ def _lists(values: np.ndarray, filled: np.ndarray) -> pa.Array:
 
 
 def signatures(df: DataFrame, text: str, size: int) -> DataFrame:
-    """df (without columns named like the new ones) without its text, with n_shingles, set_hi, set_lo, bands and sketch; no shingles: empty lists."""
+    """df (without columns named like the new ones) without its text, with n_shingles, set_hi, set_lo, bands, sketch and parity; no shingles: empty lists."""
     bound_batches(df.sparkSession)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + ["n_shingles bigint", "set_hi bigint", "set_lo bigint", "bands array<bigint>", "sketch array<bigint>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + ["n_shingles bigint", "set_hi bigint", "set_lo bigint", "bands array<bigint>", "sketch array<bigint>", "parity array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
@@ -93,23 +111,42 @@ def signatures(df: DataFrame, text: str, size: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             minima = min_hashes(full) if full else np.empty((0, SAMPLES), np.uint64)
             new = {"n_shingles": pa.array(sizes, pa.int64()), "set_hi": _signed([k[0] for k in keys]), "set_lo": _signed([k[1] for k in keys])}
-            yield replaced(b, [text], **new, bands=_lists(band_keys(minima), sizes > 0), sketch=_lists(odd_sketches(minima), sizes > 0))
+            yield replaced(b, [text], **new, bands=_lists(band_keys(minima), sizes > 0), sketch=_lists(odd_sketches(minima), sizes > 0), parity=_lists(parities(full) if full else np.empty((0, PARITY // 64), np.int64), sizes > 0))
 
     return df.mapInArrow(run, schema)
 
 
-def shingles(df: DataFrame, text: str, size: int) -> DataFrame:
-    """set_hi, set_lo and the sorted shingle hashes of df's texts."""
+class Sieve:
+    """A bitmap of fixed size that knows the rows wanted later, and some others: it spares a shuffle of all texts."""
+
+    BITS = 1 << 23
+
+    def __init__(self, keys: DataFrame):
+        at = F.pmod("key", F.lit(self.BITS)) + 1  # bitmap buckets begin with 1
+        parts = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        self.bits = np.zeros(self.BITS // 8, np.uint8)  # BITS / 8 bytes at most come to the driver
+        for part, bits in parts.collect():
+            self.bits[(part - 1) * 4096 : (part - 1) * 4096 + len(bits)] |= np.frombuffer(bits, np.uint8)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.int64) % self.BITS
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def shingles(df: DataFrame, text: str, size: int, sieve: Sieve) -> DataFrame:
+    """set_hi, set_lo and the sorted shingle hashes of those of df's texts whose `key` the sieve may hold."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            sets, keys = _sets(b.column(text), size)
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([_signed([k[0] for k in keys]), _signed([k[1] for k in keys]), lists], names=["set_hi", "set_lo", "shingles"])
+        for batch in batches:
+            some = batch.filter(pa.array(sieve.may_hold(batch.column("key").to_numpy(zero_copy_only=False))))
+            for b in text_slices([some], text):
+                sets, keys = _sets(b.column(text), size)
+                offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([_signed([k[0] for k in keys]), _signed([k[1] for k in keys]), lists], names=["set_hi", "set_lo", "shingles"])
 
-    return df.select(text).mapInArrow(run, "set_hi bigint, set_lo bigint, shingles array<bigint>")
+    return df.select(text, "key").mapInArrow(run, "set_hi bigint, set_lo bigint, shingles array<bigint>")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -119,34 +156,33 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     whole sequence is one shingle; without words the set is empty and linked with nothing. Sets with
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable over links, and kept
     says whether it is the row's own. Equal sets are one node. Links are found by banded MinHash, held against odd sketches
-    and confirmed on full sets; sets are compared by 64-bit hashes of their shingles.
+    of MinHash samples and of whole sets, and confirmed on full sets; sets are compared by 64-bit hashes of their shingles.
 
     Null texts count as empty. Rows that share a doc_id and a text share all results; a null doc_id never becomes a
     component_id unless all of the component are null, and then kept is true. Columns of df named like new ones are replaced.
     """
-    new = {"n_shingles", "component_id", "kept", "set_hi", "set_lo", "bands", "sketch", "_row", "_text"}
+    new = {"n_shingles", "component_id", "kept", "set_hi", "set_lo", "bands", "sketch", "parity", "_row", "_text"}
     base = df.select(*[c for c in df.columns if c not in new], F.xxhash64(text).alias("_text"))
     rows = materialise(signatures(base, text, size).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     key = ["set_hi", "set_lo"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("_row").alias("node"), F.min(doc_id).alias("least_id"))
     classes = materialise(classes, "classes")
     first = rows.join(classes.select("node"), F.col("_row") == F.col("node"))
-    first = materialise(first.select("node", "n_shingles", "set_hi", "set_lo", "_text", F.col(doc_id).alias("_id"), "sketch", "bands"), "class-signatures")
-    nodes = first.select("node", F.col("n_shingles").alias("n"), "sketch")
+    first = materialise(first.select("node", "n_shingles", "set_hi", "set_lo", "_text", F.col(doc_id).alias("_id"), "sketch", "parity", "bands"), "class-signatures")
+    nodes = first.select("node", F.col("n_shingles").alias("n"), "sketch", "parity")
     most = difference_limit(percent / 100)
 
-    def near(x: str, y: str) -> F.Column:
+    def near(x: str, y: str) -> Column:
         a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-        bits = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bits <= most)
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_differing(x, y, "sketch", BITS) <= most) & ((100 + percent) * _differing(x, y, "parity", PARITY) <= (100 - percent) * (a + b))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "candidates")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = materialise(first.join(wanted, "node").select("node", "_text", "_id", *key), "candidate-nodes")
-        texts = df.select(F.col(text).alias("text"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"))
-        texts = texts.join(wanted.select("_text", "_id"), texts._text.eqNullSafe(wanted._text) & texts._id.eqNullSafe(wanted._id), "left_semi")
-        sets = shingles(texts, "text", size).dropDuplicates(key).join(wanted.select("node", *key), key).select("node", "shingles")
+        sieve = Sieve(wanted.select(F.xxhash64("_id", "_text").alias("key")))
+        texts = df.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.xxhash64(text)).alias("key"))
+        sets = shingles(texts, "text", size, sieve).dropDuplicates(key).join(wanted.select("node", *key), key).select("node", "shingles")
         sets = materialise(sets, "candidate-sets")
         y, x = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ba")
         held = pairs.join(y, "b").join(x, "a")
@@ -158,7 +194,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = materialise(grouped.join(least, "root").select(*key, "component_id"), "labels")
-    plain = [c for c in rows.columns if c not in {*key, "bands", "sketch", "_row", "_text"}]
+    plain = [c for c in rows.columns if c not in {*key, "bands", "sketch", "parity", "_row", "_text"}]
     # an empty set is its own component; equal sets lie in one
     out = rows.select(*plain, *key).join(labels.withColumn("_found", F.lit(True)), key, "left")
     component = F.when(F.col("_found"), F.col("component_id")).otherwise(F.col(doc_id))
