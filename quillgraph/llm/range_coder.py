@@ -3,14 +3,14 @@
 Each block starts from an empty model. The model predicts the next id by three orders:
 
 * order 2 and order 1: the id that last followed the two ids, the one id before, with a confidence of 0 to 3;
-* order 0: how often each id occurs in the block's first 64, 128, 256, ... ids, as many as are already coded.
+* order 0: how often each id occurs in the block's first 64, 256, 1024, ... ids, as many as are already coded.
 
 An id is coded as one of four classes: the order-2 id, the order-1 id, an id that order 0 knows (with its frequency), or any
-id (uniform). The classes' frequencies mix two adaptive counts: of the confidences and agreement of the predictions, and of
-the two last classes. One step of the coder narrows the range by the class and then by the id within it.
+id (uniform). The classes' frequencies mix two adaptive counts, of the confidences and agreement of the predictions and of
+the two last classes, scaled to 2**16. One step of the coder narrows the range by the class and then by the id within it.
 
 The range has 48 bits, 32 at least, and is refilled 16 bits at a time; carries stay in the encoder's digits and are resolved
-at the end. Counts rise by 2, so a block's total stays below 2**15 and no id's share of the range is empty.
+at the end. Counts rise by 2 from 2, four of them in a number, so their sums stay below 2**16 and no id's share is empty.
 """
 
 from __future__ import annotations
@@ -18,52 +18,67 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4096
-LANES = 1024
-ID_BITS = 20
+LANES = 2048
+ID_BITS = 19
 _ID = (1 << ID_BITS) - 1
-_SLOTS = 4096
+_SLOTS = 512
 _FULL, _LEAST = 1 << 48, 1 << 32
-_FIRST = 64
+_FIRST, _SCALE = 64, 16
+_ONES = 0x0001000100010001
+_RECIPROCAL = np.r_[0, (1 << 40) // np.arange(1, 1 << 16)]
 
 
 class _Model:
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.t1, self.t2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.trusts, self.pasts = lanes * 32, lanes * 16
-        self.by_trust, self.by_past = np.full(4 * lanes * 32, 2, np.int32), np.full(4 * lanes * 16, 2, np.int32)
+        self.lane, self.lanes = np.arange(lanes), lanes
+        self.table = np.zeros(2 * lanes * _SLOTS, np.int32)
+        self.by_trust, self.by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 16, 2 * _ONES)
+        self.lane_slots, self.lane_trust, self.lane_past = self.lane * _SLOTS, self.lane * 32, self.lane * 16
+        self.slots, self.entries = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int32)
         self.p1 = self.p2 = np.zeros(lanes, np.int64)
         self.past = np.full(lanes, 15)
-        self.cum, self.f, self.shift = np.zeros((4, lanes), np.int64), np.zeros((4, lanes), np.int64), 0
-        self.lane_slots, self.lane_trust, self.lane_past = self.lane * _SLOTS, self.lane * 32, self.lane * 16
+        self.shift = 0
+        self.cum = np.zeros((5, lanes), np.int64)
+        self.cum[4] = 1 << _SCALE
 
     def predict(self) -> None:
-        self.s1 = self.lane_slots + ((self.p1 * 40503 >> 4) & (_SLOTS - 1))
-        self.s2 = self.lane_slots + ((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA6B >> 15) & (_SLOTS - 1))
-        e1, e2 = self.t1.take(self.s1).astype(np.int64), self.t2.take(self.s2).astype(np.int64)
-        self.q1, self.q2, self.c1, self.c2 = e1 & _ID, e2 & _ID, e1 >> ID_BITS, e2 >> ID_BITS
-        self.ca = self.lane_trust + self.c2 * 8 + self.c1 * 2 + (self.q1 == self.q2)
+        one, two = self.slots
+        np.multiply(self.p1, 40503, out=one)
+        np.multiply(self.p2, 0x85EBCA6B, out=two)
+        two += self.p1 * 0x9E3779B1
+        one >>= 4
+        two >>= 15
+        self.slots &= _SLOTS - 1
+        self.slots += self.lane_slots
+        two += self.lanes * _SLOTS
+        np.take(self.table, self.slots, out=self.entries, mode="clip")
+        self.guess, self.trust = self.entries & _ID, self.entries >> ID_BITS
+        self.ca = self.lane_trust + self.trust[1] * 8 + self.trust[0] * 2 + (self.guess[0] == self.guess[1])
         self.cb = self.lane_past + self.past
-        f, cum = self.f, self.cum
-        for k in range(4):
-            np.add(self.by_trust.take(self.ca + k * self.trusts), self.by_past.take(self.cb + k * self.pasts), out=f[k])
-        cum[1] = f[0]
-        np.add(f[0], f[1], out=cum[2])
-        np.add(cum[2], f[2], out=cum[3])
-        self.total = cum[3] + f[3]
-
-    def classes(self, x: np.ndarray, known: np.ndarray) -> np.ndarray:
-        out = np.where(known, 2, 3)
-        out[(x == self.q1) & (self.c1 > 0)] = 1
-        out[(x == self.q2) & (self.c2 > 0)] = 0
-        return out
-
-    def update(self, x: np.ndarray, kind: np.ndarray) -> None:
-        self.by_trust[kind * self.trusts + self.ca] += 2
-        self.by_past[kind * self.pasts + self.cb] += 2
-        for table, slot, guess, trust in ((self.t1, self.s1, self.q1, self.c1), (self.t2, self.s2, self.q2, self.c2)):
-            table[slot] = x + (np.where(x == guess, np.minimum(trust + 1, 3), 1) << ID_BITS)
-        self.past = (self.past * 4 + kind) & 15
+        f = self.by_trust.take(self.ca) + self.by_past.take(self.cb)
+        c = self.cum
+        np.bitwise_and(f, 0xFFFF, out=c[1])
+        np.add(c[1], f >> 16 & 0xFFFF, out=c[2])
+        np.add(c[2], f >> 32 & 0xFFFF, out=c[3])
+        scale = _RECIPROCAL.take(c[3] + (f >> 48))
+        c[1:4] *= scale
+        c[1:4] >>= 40 - _SCALE
+
+    def hits(self, x: np.ndarray) -> np.ndarray:
+        return (self.guess == x) & (self.trust > 0)
+
+    def update(self, x: np.ndarray, x32: np.ndarray, kind: np.ndarray) -> None:
+        more = 2 << (kind << 4)
+        self.by_trust[self.ca] = self.by_trust.take(self.ca) + more
+        self.by_past[self.cb] = self.by_past.take(self.cb) + more
+        same = self.guess == x32
+        trust = self.trust * same
+        trust -= trust == 3
+        trust += 1
+        trust <<= ID_BITS
+        trust += x32
+        self.table[self.slots] = trust
+        self.past = (self.past << 2 | kind) & 15
         self.p1, self.p2 = x, self.p1
 
     def count(self, ids: np.ndarray) -> None:
@@ -82,7 +97,8 @@ class _Model:
 
 
 def _rebuild_at(t: int) -> bool:
-    return t >= _FIRST and t & (t - 1) == 0
+    """At 64, 256, 1024, ..."""
+    return t >= _FIRST and t & (t - 1) == 0 and t.bit_length() % 2 == 1
 
 
 def encode(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -90,51 +106,56 @@ def encode(ids: np.ndarray, bits: int) -> list[bytes]:
     steps, lanes = ids.shape
     m = _Model(lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
-    digits, used = np.zeros((lanes, 3 * steps + 4), np.uint32), np.ones(lanes, np.int64)  # the first digit takes a last carry
+    # digits lie by place, then lane; the first takes a last carry
+    digits, used = np.zeros((2 * steps + 8) * lanes, np.uint32), m.lane + lanes
     start = many = None
     for t in range(steps):
         if _rebuild_at(t):
             m.count(ids[:t])
-            chunk = ids[t : 2 * t]
-            keys = (m.lane[:, None] << ID_BITS | m.sorted).ravel()
-            at = np.minimum(np.searchsorted(keys, (m.lane << ID_BITS | chunk).T.ravel()), len(keys) - 1)
-            found = keys[at] == (m.lane << ID_BITS | chunk).T.ravel()
-            start = m.first.ravel()[at].reshape(lanes, -1).T.copy()
-            many = np.where(found, m.many.ravel()[at], 0).reshape(lanes, -1).T.copy()
-            base = t
+            chunk = np.ascontiguousarray(ids[t : 4 * t].T)
+            start, many = np.empty(chunk.shape, np.int64), np.empty(chunk.shape, np.int64)
+            for i in range(lanes):
+                at = np.minimum(np.searchsorted(m.sorted[i], chunk[i]), t - 1)
+                start[i] = m.first[i].take(at)
+                many[i] = np.where(m.sorted[i].take(at) == chunk[i], m.many[i].take(at), 0)
+            start, many, base = np.ascontiguousarray(start.T), np.ascontiguousarray(many.T), t
         x = ids[t].astype(np.int64)
         m.predict()
-        kind = m.classes(x, many[t - base] > 0 if m.shift else np.zeros(lanes, bool))
-        r = span // m.total
+        hit = m.hits(ids[t])
+        known = many[t - base] if m.shift else 0
+        kind = np.where(hit[1], 0, np.where(hit[0], 1, 3 - (known > 0)))
         at = kind * lanes + m.lane
-        low += r * m.cum.take(at)
-        span = r * m.f.take(at)
-        third, fourth = kind == 2, kind == 3
-        r = span >> (third * m.shift + fourth * bits)
-        begin = fourth * x
+        c = m.cum.take(at)
+        span >>= _SCALE
+        low += span * c
+        span *= m.cum.take(at + lanes) - c
+        rest = kind >= 2
+        third = kind == 2
+        r = span >> np.where(third, m.shift, np.where(rest, bits, 0))
         if m.shift:
-            begin += third * start[t - base]
-            span = np.where(third, r * many[t - base], np.where(fourth, r, span))
+            low += r * np.where(third, start[t - base], x * rest)
+            span = np.where(third, r * known, np.where(rest, r, span))
         else:
-            span = np.where(fourth, r, span)
-        low += r * begin
-        m.update(x, kind)
+            low += r * (x * rest)
+            span = np.where(rest, r, span)
+        m.update(x, ids[t], kind)
         while True:
             short = np.flatnonzero(span < _LEAST)
             if not len(short):
                 break
-            some = low[short]
-            digits[short, used[short]] = some >> 32
-            used[short] += 1
+            some, at = low.take(short), used.take(short)
+            digits[at] = some >> 32
+            used[short] = at + lanes
             low[short] = (some & 0xFFFFFFFF) << 16
-            span[short] <<= 16
+            span[short] = span.take(short) << 16
     for k in (32, 16, 0):
-        digits[m.lane, used] = (low >> k) & (0xFFFF if k < 32 else 0xFFFFFFFF)
-        used += 1
+        digits[used] = (low >> k) & (0xFFFF if k < 32 else 0xFFFFFFFF)
+        used += lanes
+    digits, used = digits.reshape(-1, lanes), used // lanes
     for k in range(int(used.max()) - 1, 0, -1):
-        digits[:, k - 1] += digits[:, k] >> 16
-    words = (digits & 0xFFFF).astype(">u2")
-    return [words[i, 1 : used[i]].tobytes() for i in range(lanes)]
+        digits[k - 1] += digits[k] >> 16
+    words = np.ascontiguousarray((digits[1 : int(used.max())] & 0xFFFF).astype(">u2").T)
+    return [words[i, : used[i] - 1].tobytes() for i in range(lanes)]
 
 
 def decode(codes: list[bytes], steps: int, bits: int) -> np.ndarray:
@@ -142,44 +163,53 @@ def decode(codes: list[bytes], steps: int, bits: int) -> np.ndarray:
     lanes = len(codes)
     m = _Model(lanes)
     sizes = np.fromiter((len(c) // 2 for c in codes), np.int64, lanes)
-    digits = np.zeros((lanes, int(sizes.max(initial=0)) + 4), np.int64)
+    rows = np.zeros((lanes, int(sizes.max(initial=0)) + 4), np.uint16)
     for i, c in enumerate(codes):
-        digits[i, : sizes[i]] = np.frombuffer(c, ">u2")
-    last = digits.shape[1] - 1
-    off = (digits[:, 0] << 32) | (digits[:, 1] << 16) | digits[:, 2]
-    span, used = np.full(lanes, _FULL), np.full(lanes, 3)
+        rows[i, : sizes[i]] = np.frombuffer(c, ">u2")
+    head = rows[:, :3].astype(np.int64)
+    off = (head[:, 0] << 32) | (head[:, 1] << 16) | head[:, 2]
+    # digits lie by place, then lane
+    digits = np.ascontiguousarray(rows.T).ravel()
+    span, used = np.full(lanes, _FULL), m.lane + 3 * lanes
     out = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         if _rebuild_at(t):
             m.count(out[:t])
         m.predict()
-        r = span // m.total
-        v = np.minimum(off // r, m.total - 1)
-        kind = (v >= m.cum[1]).astype(np.int64) + (v >= m.cum[2]) + (v >= m.cum[3])
+        span >>= _SCALE
+        edges = m.cum[1:4] * span
+        kind = (off >= edges[0]).astype(np.int64) + (off >= edges[1]) + (off >= edges[2])
         at = kind * lanes + m.lane
-        off -= r * m.cum.take(at)
-        span = r * m.f.take(at)
-        third, fourth = kind == 2, kind == 3
-        shift = third * m.shift + fourth * bits
-        r = span >> shift
-        v = np.minimum(off // r, (1 << shift) - 1)
-        begin = fourth * v
-        x = np.where(fourth, v, np.where(kind == 1, m.q1, m.q2))
-        span = np.where(fourth, r, span)
+        c = m.cum.take(at)
+        off -= span * c
+        span *= m.cum.take(at + lanes) - c
+        x = np.where(kind == 0, m.guess[1], m.guess[0]).astype(np.int64)
+        row = np.flatnonzero(kind >= 2)
+        third = kind.take(row) == 2
+        shift = np.where(third, m.shift, bits)
+        r = span.take(row) >> shift
+        here = off.take(row)
+        v = np.minimum(here // r, (1 << shift) - 1)
+        begin, size = v, r
         if m.shift:
-            row = np.flatnonzero(third)
-            at = row * m.sorted.shape[1] + v[row]
-            begin[row] = m.first.take(at)
-            span[row] = r[row] * m.many.take(at)
-            x[row] = m.sorted.take(at)
-        off -= r * begin
+            own = np.flatnonzero(third)
+            at = row.take(own) * m.sorted.shape[1] + v.take(own)
+            begin = v.copy()
+            begin[own] = m.first.take(at)
+            size = r.copy()
+            size[own] *= m.many.take(at)
+            v[own] = m.sorted.take(at)
+        off[row] = here - r * begin
+        span[row] = size
+        x[row] = v
         out[t] = x
-        m.update(x, kind)
+        m.update(x, out[t], kind)
         while True:
             short = np.flatnonzero(span < _LEAST)
             if not len(short):
                 break
-            off[short] = (off[short] << 16) | digits[short, np.minimum(used[short], last)]
-            used[short] += 1
-            span[short] <<= 16
+            at = used.take(short)
+            off[short] = (off.take(short) << 16) | digits.take(at, mode="clip")
+            used[short] = at + lanes
+            span[short] = span.take(short) << 16
     return out

@@ -7,7 +7,7 @@ A file is a row of segments, each followed by one newline byte. A segment, littl
     blocks:    ids u32, bytes u32 and crc32 of the ids u32, each
     the blocks' codes, one after the other
 
-The ids of a segment's documents lie in one stream, which is cut into blocks of BLOCK ids (below 2**20); a block's model and code depend on
+The ids of a segment's documents lie in one stream, which is cut into blocks of BLOCK ids (below 2**19); a block's model and code depend on
 no other block's. The crc32 is of the block's ids as little-endian unsigned 32-bit integers.
 """
 
@@ -157,6 +157,7 @@ def round_trip(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     path = scratch_path(df.sparkSession, "token-files")
     write(df, path, tokenizer, end_id)
     docs = materialise(read(df.sparkSession, path, digest=True), "token-digests")
+    bound_batches(df.sparkSession)
     # a row for each file
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
