@@ -13,9 +13,7 @@ from .shared import materialise
 
 #: A SimHash has 64 bits in BLOCKS blocks; two that differ in at most DISTANCE bits agree on BLOCKS - DISTANCE blocks.
 BLOCKS, DISTANCE = 5, 3
-_LANE = 0x0001000100010001
-#: Words are counted in 16-bit lanes, so in pieces of this many at most.
-PIECE = 32_767
+_LANES = 0x0000000100000001
 
 
 def normalised(line: Column) -> Column:
@@ -30,13 +28,18 @@ def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def sim_hashes(lines: DataFrame, key: list[str]) -> DataFrame:
-    """key and sim (64-bit SimHash of the words of norm, each as often as it occurs) of lines (key, norm)."""
-    words = lines.select(*key, F.posexplode(F.split("norm", " ")).alias("place", "word"))
-    hashed = words.select(*key, F.floor(F.col("place") / PIECE).alias("piece"), F.xxhash64("word").alias("h"))
-    counted = hashed.groupBy(*key, "piece").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANE))).alias(f"c{i}") for i in range(16)])
-    lanes = {i + 16 * lane: F.sum(F.shiftrightunsigned(f"c{i}", 16 * lane).bitwiseAND(F.lit(0xFFFF))) for i in range(16) for lane in range(4)}
-    total = F.sum("n")
-    return counted.groupBy(*key).agg(_bits({b: 2 * c > total for b, c in lanes.items()}).alias("sim"))
+    """key and sim of lines (key, norm): the 64-bit SimHash of the words of norm, each as often as it occurs.
+
+    A word weighs by its letters beyond two (62 at most), and a little in any case: the short words that all lines of a
+    language share would else make their SimHashes alike. Sums hold for lines of a million words.
+    """
+    weight = 64 * F.greatest(F.least(F.length("word"), F.lit(64)) - 2, F.lit(0)) + 1
+    hashed = lines.select(*key, F.explode(F.split("norm", " ")).alias("word")).select(*key, F.xxhash64("word").alias("h"), weight.cast("long").alias("w"))
+    # two bits are counted in each number
+    counts = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES)) * F.col("w")).alias(f"c{i}") for i in range(32)]
+    counted = hashed.groupBy(*key).agg(F.sum("w").alias("n"), *counts)
+    ones = {i + 32 * upper: F.shiftrightunsigned(f"c{i}", 32 * upper).bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(32) for upper in range(2)}
+    return counted.select(*key, _bits({b: 2 * c > F.col("n") for b, c in ones.items()}).alias("sim"))
 
 
 def _bits(flags: dict[int, Column]) -> Column:
@@ -63,10 +66,10 @@ def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """
     taking = lines_of(df, doc_id, text).where(F.size(F.split("norm", " ")) >= min_words)
     keyed = taking.select("_id", "_text", "line", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), F.length("norm").alias("chars"), "norm")
-    occurrences = materialise(keyed.drop("norm"), "lines")
     key = ["k1", "k2"]
-    sims = sim_hashes(keyed.select("_id", "_text", "line", *key, "chars", "norm"), ["_id", "_text", "line", *key, "chars"])
-    distinct = sims.groupBy(*key).agg(F.min("sim").alias("sim"), F.min("chars").alias("chars"), F.min(F.struct("_id", "_text", "line")).alias("at"))
+    # rows equal in doc_id and text count their words together, which leaves the SimHash as it is
+    occurrences = materialise(sim_hashes(keyed, ["_id", "_text", "line", *key, "chars"]), "lines")
+    distinct = occurrences.groupBy(*key).agg(F.min("sim").alias("sim"), F.min("chars").alias("chars"), F.min(F.struct("_id", "_text", "line")).alias("at"))
     distinct = materialise(distinct.select(*key, "sim", "chars", "at", F.monotonically_increasing_id().alias("node")), "different-lines")
     nodes = distinct.select("node", "sim", "chars")
 

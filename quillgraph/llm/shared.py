@@ -48,6 +48,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, columns stay prunable."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    # shuffle files of earlier steps go when the driver's JVM finds their plans unreachable, which may take long by itself
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
