@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-#: Cells of the histogram; lengths are counted in steps of ceil(longest / CELLS), so lengths to CELLS are counted exactly.
-CELLS = 4096
 #: Documents that are numbered together; a bucket is split into as many parts as that takes.
 PART = 4096
 
@@ -26,16 +24,24 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     length, documents = np.asarray(lengths, np.int64), np.r_[0, np.cumsum(counts)].astype(np.int64)
     tokens = np.r_[0, np.cumsum(np.asarray(lengths, np.int64) * counts)]
     # cost of one bucket over lengths[i:j]: length[j-1] * documents - tokens
-    best = np.r_[0, length * documents[1:] - tokens[1:]].astype(np.float64)
+    best = np.r_[0, length * documents[1:] - tokens[1:]]
     choices = []
     rounds = min(buckets, n)
     for _ in range(1, rounds):
-        new, pick = np.empty(n + 1), np.zeros(n + 1, np.int64)
-        new[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] + length[j - 1] * (documents[j] - documents[:j]) - (tokens[j] - tokens[:j])
-            pick[j] = cost.argmin()
-            new[j] = cost[pick[j]]
+        new, pick = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        # the costs are a Monge matrix, so the first best i never falls as j grows: halves are searched between their ends' choices
+        spans = [(1, n, 0, n - 1)]
+        while spans:
+            a, z, low, high = spans.pop()
+            j = (a + z) // 2
+            i = np.arange(low, min(high, j - 1) + 1)
+            cost = best[i] + length[j - 1] * (documents[j] - documents[i]) - (tokens[j] - tokens[i])
+            at = int(cost.argmin())
+            pick[j], new[j] = low + at, cost[at]
+            if a < j:
+                spans.append((a, j - 1, low, low + at))
+            if j < z:
+                spans.append((j + 1, z, low + at, high))
         if new[n] >= best[n]:
             break
         choices.append(pick)
@@ -62,10 +68,8 @@ def pack(df: DataFrame, length: str = "n_tokens", doc_id: str = "doc_id", bucket
     spark = df.sparkSession
     df = df.drop("bucket", "bucket_length", "batch", "slot")
     n = F.coalesce(F.col(length), F.lit(0)).cast("long")
-    longest = df.agg(F.max(n)).first()[0] or 0
-    step = max(1, -(-longest // CELLS))
-    # CELLS + 1 rows at most
-    cells = df.groupBy((F.ceil(n / step) * step).cast("long").alias("length")).agg(F.count("*").alias("documents")).orderBy("length").toPandas()
+    # a row for each different length: fewer than the root of twice the tokens of df
+    cells = df.groupBy(n.alias("length")).agg(F.count("*").alias("documents")).orderBy("length").toPandas()
     lengths, counts = cells["length"].to_numpy(np.int64), cells["documents"].to_numpy(np.int64)
     bounds = boundaries(lengths, counts, buckets)
     fields = [("bucket", T.IntegerType()), ("bucket_length", T.LongType()), ("parts", T.IntegerType()), ("room", T.LongType())]
@@ -75,10 +79,9 @@ def pack(df: DataFrame, length: str = "n_tokens", doc_id: str = "doc_id", bucket
         rows.append((i, b, max(1, round(inside / PART)), max(1, budget // max(1, b))))
         low = b
     table = spark.createDataFrame(rows, T.StructType([T.StructField(k, t) for k, t in fields]))
-    rounded = (F.ceil(n / step) * step).cast("long")
     which = F.lit(len(bounds) - 1)
     for i in range(len(bounds) - 2, -1, -1):
-        which = F.when(rounded <= bounds[i], i).otherwise(which)
+        which = F.when(n <= bounds[i], i).otherwise(which)
     placed = df.withColumn("bucket", which.cast("int")).join(F.broadcast(table), "bucket")  # a row for each bucket
     placed = placed.withColumn("_part", F.pmod(F.xxhash64(F.col(doc_id)), F.col("parts")).cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket", "_part").orderBy(doc_id, n)) - 1

@@ -146,3 +146,26 @@ def test_packing(spark):
         assert len(b) == 1 or len(b) * b[0].bucket_length <= 1000
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.pack(df.where("n_tokens is null")).select("bucket_length", F.col("slot")).collect() == [(0, 0)]
+
+
+def test_one_huge_document_leaves_the_other_bounds_alone(spark):
+    rng = random.Random(12)
+    for longest in (90, 1_000_000, 5_000_000):
+        lengths = [rng.choice([1, 2, 17, 30, 31, 200, 245, 246, 3000]) for _ in range(200)] + [longest]
+        got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), buckets=4).collect()
+        assert sum(r.bucket_length - r.n_tokens for r in got) == least_padding(lengths, 4)
+
+
+def test_boundaries_of_many_lengths_are_optimal():
+    rng = np.random.default_rng(5)
+    lengths = np.unique(rng.integers(1, 40_000, 700))
+    counts = rng.integers(1, 50, len(lengths))
+    cost = lambda i, j: int((counts[i:j] * (lengths[j - 1] - lengths[i:j])).sum())
+    n = len(lengths)
+    table = np.array([[cost(i, j) if i < j else 1 << 60 for j in range(n + 1)] for i in range(n)])
+    best = table[0]
+    for _ in range(3):
+        best = np.minimum(best, (best[:n, None] + table).min(axis=0))
+        best[0] = 0
+    bounds = np.array(packing.boundaries(lengths, counts, 4))
+    assert int((counts * (bounds[np.searchsorted(bounds, lengths)] - lengths)).sum()) == best[n]
