@@ -49,6 +49,8 @@ def _measure(column: pa.Array) -> dict[str, pa.Array]:
     spread = mix(w.hashes(lower=True) + mix(place.astype(np.uint64)))
     normal = np.add.reduceat(spread, first) if len(first) else np.empty(0, np.uint64)
     offsets = pa.array(np.r_[0, np.cumsum(lines)], pa.int32())
+    breaks = np.flatnonzero(w.data == 10)
+    places = np.searchsorted(breaks, start) - np.searchsorted(breaks, w.offsets[doc])
     digest = span_hashes(w.data, w.offsets[:-1], np.diff(w.offsets)) if len(w.data) else np.zeros(w.n_docs, np.uint64)
     values = {
         "n_words": w.counts,
@@ -61,27 +63,31 @@ def _measure(column: pa.Array) -> dict[str, pa.Array]:
     return {k: pa.array(v.astype(np.int64), pa.int64()) for k, v in values.items()} | {
         "line_keys": pa.ListArray.from_arrays(offsets, pa.array(mix(normal).view(np.int64))),
         "line_words": pa.ListArray.from_arrays(offsets, pa.array(sizes.astype(np.int32))),
+        "line_places": pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32))),
     }
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
+def measure(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """df without its text, with the counts of COUNTS, a key of the text, and key and words of each line that has words.
 
-    Null and empty texts have zeros and no lines. Columns of df with a name of the new ones are replaced.
+    With keep_text the text stays, and line_places has the number (from 0) of each such line among the \\n-split ones. Null and
+    empty texts have zeros and no lines. Columns of df with a name of the new ones are replaced.
     """
     bound_batches(df.sparkSession)
-    new = {c: "bigint" for c in (*COUNTS, "text_key")} | {"line_keys": "array<bigint>", "line_words": "array<int>"}
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in {text, *new}] + [f"`{k}` {v}" for k, v in new.items()])
+    new = {c: "bigint" for c in (*COUNTS, "text_key")} | {"line_keys": "array<bigint>", "line_words": "array<int>"} | ({"line_places": "array<int>"} if keep_text else {})
+    gone = [] if keep_text else [text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in {*gone, *new}] + [f"`{k}` {v}" for k, v in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
-            yield replaced(b, [text], **_measure(b.column(text)))
+            found = _measure(b.column(text))
+            yield replaced(b, gone, **{k: found[k] for k in new})
 
     return df.mapInArrow(run, schema)
 
 
-def judge(df: DataFrame, host: str = "source", text: str = "text", min_docs: int = 20, min_share: float = 0.01, max_line_words: int = 30) -> DataFrame:
-    """df without its text, with COUNTS, n_removed_words, base_failed and kept.
+def judge(df: DataFrame, host: str = "source", text: str = "text", min_docs: int = 20, min_share: float = 0.01, max_line_words: int = 30, keep_text: bool = False) -> DataFrame:
+    """df without its text, with COUNTS, n_removed_words, base_failed and kept; with keep_text also its text less the lines removed.
 
     A line counts once for each different text of a host that holds it, after lower-casing A-Z and with single spaces
     between its words. Lines of at most max_line_words words (longer ones are passages, which the operators for copies
@@ -92,17 +98,22 @@ def judge(df: DataFrame, host: str = "source", text: str = "text", min_docs: int
     Rows with a null host form one host. Repeated rows get the same verdict. Columns of df with a name of the new ones are
     replaced.
     """
-    extra = {*COUNTS, "text_key", "line_keys", "line_words", "_row", "_host", "n_removed_words", "base_failed", "kept"}
+    extra = {*COUNTS, "text_key", "line_keys", "line_words", "line_places", "_row", "_host", "_gone", "n_removed_words", "base_failed", "kept"}
     base = df.select(*[c for c in df.columns if c not in extra], F.xxhash64(F.col(host)).alias("_host"))
-    measured = materialise(measure(base, text).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    lines = measured.select("_host", "text_key", "_row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("_host", "text_key", "_row", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
+    measured = materialise(measure(base, text, keep_text).withColumn("_row", F.monotonically_increasing_id()), "quality")
+    fields = {"line_keys": "key", "line_words": "words"} | ({"line_places": "place"} if keep_text else {})
+    lines = measured.select("_host", "text_key", "_row", F.explode(F.arrays_zip(*fields)).alias("l")).select("_host", "text_key", "_row", *[F.col(f"l.{k}").alias(v) for k, v in fields.items()])
     lines = lines.where(F.col("words") <= max_line_words)
     often = lines.select("_host", "key", "text_key").distinct().groupBy("_host", "key").agg(F.count("*").alias("texts")).where(F.col("texts") > min_docs)
     hosts = measured.select("_host", "text_key").distinct().groupBy("_host").agg(F.count("*").alias("all_texts"))
     often = materialise(often.join(hosts, "_host").where(F.col("texts") > min_share * F.col("all_texts")).select("_host", "key"), "frequent-lines")
-    removed = lines.join(often, ["_host", "key"]).groupBy("_row").agg(F.sum("words").cast("long").alias("n_removed_words"))
+    totals = [F.sum("words").cast("long").alias("n_removed_words")] + ([F.collect_list("place").alias("_gone")] if keep_text else [])
+    removed = lines.join(often, ["_host", "key"]).groupBy("_row").agg(*totals)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measured.drop("line_keys", "line_words", "text_key", "_host").join(removed, "_row", "left").drop("_row")
+    out = measured.drop("line_keys", "line_words", "line_places", "text_key", "_host").join(removed, "_row", "left").drop("_row")
+    if keep_text:
+        left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+        out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).drop("_gone")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (2 * F.col("n_removed_words") <= F.col("n_words")))
 

@@ -196,3 +196,15 @@ def test_quality_counts_and_verdicts(spark):
     assert got[20].n_removed_words == 40 and not got[20].kept
     assert got[10].kept and got[15].kept
     assert quality_rules.judge(df.limit(0)).count() == 0
+
+
+def test_quality_cuts_frequent_lines_out(spark):
+    own = ["\n".join(" ".join(f"v{i}x{k}y{j}" for k in range(30)) for j in range(2)) for i in range(6)]
+    rows = [(i, "All Rights  reserved\n\n" + t.replace("\n", "\nall rights RESERVED\n") + "\n", "h1") for i, t in enumerate(own)]
+    rows += [(10, "all rights reserved\n" + own[0].replace("v", "z"), "h2"), (11, None, "h1"), (12, "", "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(df, min_docs=4, min_share=0.1, keep_text=True).collect()}
+    assert {i: got[i].text for i in got} == {i: "\n" + own[i] + "\n" if i < 6 else t for i, t, _ in rows}
+    assert [got[i].n_removed_words for i in (0, 10, 11)] == [6, 0, 0] and got[0].kept
+    plain = {r.doc_id: r for r in quality_rules.judge(df, min_docs=4, min_share=0.1).collect()}
+    assert all("text" not in r and r.kept == got[i].kept and r.n_words == got[i].n_words for i, r in plain.items())

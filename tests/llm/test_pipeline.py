@@ -44,3 +44,10 @@ def test_pipeline(spark, tmp_path):
     assert texts[106].text.count("\n") == 1 and texts[106].n_chars == len(texts[106].text)
     assert kept["packing"] == kept["near copies"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["packing"]
+
+
+def test_quality_stage_writes_texts_less_frequent_lines(spark):
+    rows = [(i, "Subscribe now\n" + " ".join(f"v{i}x{k}" for k in range(60)), "aa", "s0", 0) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality(spark, docs, "").collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in got} == {i: (t.split("\n")[1], len(t.split("\n")[1])) for i, t, *_ in rows}
