@@ -51,3 +51,11 @@ def test_quality_stage_writes_texts_less_frequent_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.quality(spark, docs, "").collect()
     assert {r.doc_id: (r.text, r.n_chars) for r in got} == {i: (t.split("\n")[1], len(t.split("\n")[1])) for i, t, *_ in rows}
+
+
+def test_lines_stage_keeps_what_no_other_document_holds(spark):
+    shared = "\n".join(" ".join(f"s{j}w{k}" for k in range(40)) for j in range(6))
+    rows = [(1, shared), (2, shared + "\nonly this document says so"), (3, shared), (4, shared + "\n\n \n")]
+    docs = spark.createDataFrame([(i, t, "aa", "s0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.lines(spark, docs, "").collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in got} == {1: (shared, len(shared)), 2: ("only this document says so", 26)}
