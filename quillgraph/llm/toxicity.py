@@ -47,14 +47,18 @@ STANDS_FOR = {
 SEPARATORS = " .-_*~'/,"
 #: Costs, in nats: reading a sign as a letter, leaving it out, dropping a separator, cutting a run of letters.
 READ, OMIT, JOIN, CUT = 0.5, 9.0, 0.2, 0.3
+#: Costs of leaving a sign as it is: before a letter, at a span's end, and at its end where sentences have such signs too.
+KEEP, KEEP_LAST, KEEP_MARK = 6.0, 4.0, 1.0
+MARKS = "!|+(<*#%"
 
 _LEET = re.escape("".join(STANDS_FOR))
 _SEP = re.escape(SEPARATORS)
-#: Single characters with separators between; a letter with signs inside; three equal letters.
+#: Single characters with separators between; a letter with signs inside; a run of letters and signs with one of each; three equal letters.
 SPACED = rf"(?<![\w{_LEET}])(?:[^\W_][{_SEP}]{{1,2}}|[{_LEET}][{_SEP}]){{3,}}[^\W_](?![\w])"
-MASKED = rf"[{_LEET}]{{0,2}}[^\W\d_]*(?:(?<=[^\W\d_])[{_LEET}.\-_]{{1,3}}|(?<![^\s])[{_LEET}]{{1,2}})(?=[^\W\d_])[^\W_]+(?:[{_LEET}]{{1,3}}[^\W_]+)*"
+MASKED = rf"[{_LEET}]{{0,2}}[^\W\d_]*(?:(?<=[^\W\d_])[{_LEET}.\-_]{{1,3}}|(?<![^\s])[{_LEET}]{{1,2}})(?=[^\W\d_])[^\W_]+(?:[{_LEET}]{{1,3}}[^\W_]+)*[{_LEET}]*"
+MIXED = rf"(?<![^\W_])(?<![{_LEET}])(?=[{_LEET}]*[^\W\d_])(?=[^\W\d_]*[{_LEET}])(?:[^\W_]|[{_LEET}])+"
 LONG = r"[^\W_]*([^\W\d_])\1\1[^\W_]*"
-SUSPICIOUS = re.compile(f"{SPACED}|{MASKED}|{LONG}")
+SUSPICIOUS = re.compile(f"{SPACED}|{MASKED}|{MIXED}|{LONG}")
 
 
 def symbol(c: str) -> int:
@@ -87,6 +91,7 @@ def _flagged(texts: list[str]) -> dict[int, list[int]]:
     before = np.r_[True, white[: n - 1]]
     hit = letter[at[0]] & (code[at[0]] == code[at[1]]) & (code[at[1]] == code[at[2]])
     hit |= letter[at[0]] & part[at[1]] & (mark[at[2]] | part[at[2]] & (mark[at[3]] | part[at[3]] & mark[at[4]]))
+    hit |= letter[at[0]] & sign[at[1]] | sign[at[0]] & letter[at[1]]
     hit |= before & sign[at[0]] & (letter[at[1]] | sign[at[1]] & letter[at[2]])
     hit |= np.r_[True, ~mark[: n - 1]] & single[at[0]] & gap[at[1]] & single[at[2]] & gap[at[3]] & single[at[4]]
     hit |= np.r_[True, ~mark[: n - 1]] & single[at[0]] & gap[at[1]] & gap[at[2]] & single[at[3]] & gap[at[4]]
@@ -128,6 +133,7 @@ class CharacterModel:
     def restore(self, span: str, beam: int = 48) -> str:
         """The cheapest reading of a suspicious span: Viterbi over a lattice of readings, with two symbols of history."""
         s = span.lower()
+        last = len(s.rstrip("".join(STANDS_FOR)))
         spaced = sum(c in SEPARATORS for c in s) * 2 >= len(s) - 1
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         i = 0
@@ -141,7 +147,11 @@ class CharacterModel:
                 options, run = [(c, 0.0)], 1
             else:
                 options, run = [(x, READ) for x in STANDS_FOR.get(c, "")], 1
-                if c in SEPARATORS:
+                if c in STANDS_FOR:
+                    options.append((c, KEEP if i < last else KEEP_MARK if c in MARKS else KEEP_LAST))
+                if i >= last:
+                    pass
+                elif c in SEPARATORS:
                     options.append(("", JOIN))
                     if not (spaced and c != " "):
                         options.append((" ", JOIN))
@@ -155,13 +165,15 @@ class CharacterModel:
                     x, y, k = a, b, cost + extra
                     for ch in letters:
                         z = symbol(ch)
+                        if ch in STANDS_FOR and not y:
+                            continue  # one end of a word, however many signs follow
                         k += self.cost[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                     if (x, y) not in step or k < step[x, y][0]:
                         step[x, y] = (k, out + letters)
             states = step if len(step) <= beam else dict(sorted(step.items(), key=lambda e: e[1][0])[:beam])
             i += run
-        end = min((cost + self.cost[(a * SYMBOLS + b) * SYMBOLS], out) for (a, b), (cost, out) in states.items())
+        end = min((cost + (self.cost[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), out) for (a, b), (cost, out) in states.items())
         return end[1]
 
 

@@ -41,6 +41,14 @@ def test_obfuscations_are_undone():
     assert restore([*kept, None]) == [*(k.lower() for k in kept), ""]
 
 
+def test_signs_at_the_end_and_in_long_runs_are_undone():
+    plain = ["you are an ass and full of shit", "oh hello what a bitch", "a bit of it", "such an idiot", "go there now", "the house is green"] * 30
+    restore = toxicity.Restorer(toxicity.CharacterModel(toxicity.trigram_counts(plain)))
+    pairs = {"an a55 here": "an ass here", "a$$": "ass", "sh17": "shit", "bi7": "bit", "h3110": "hello", "idi07": "idiot", "1d1o7": "idiot", "b17ch": "bitch", "idiot!": "idiot!", "house 2024 100% there!!": "house 2024 100% there!!"}
+    for given, want in pairs.items():
+        assert restore([given]) == [want], given
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     marks = ["idiot", "moron", "worthless"]
