@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,35 +23,49 @@ def components(links: DataFrame) -> DataFrame:
         hook = materialise(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("parent")), "hooks")
         while True:
             up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-            jump = materialise(hook.join(up, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")), "hooks")
-            hook = jump.select("node", "parent")
+            jump = hook.join(up, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved"))
+            jump = materialise(jump, "hooks")
+            discard(hook)
+            hook = jump
             if jump.where("moved").isEmpty():
                 break
+        ends = [hook.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab"]
+        left = edges.join(ends[0], "a").join(ends[1], "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        left = materialise(left.distinct(), "links")
+        discard(edges)
+        edges = left
         if mapping is None:
-            mapping = hook.select("node", F.col("parent").alias("root"))
+            mapping = materialise(hook.select("node", F.col("parent").alias("root")), "roots")
         else:
             step = hook.select(F.col("node").alias("root"), "parent")
-            mapping = materialise(mapping.join(step, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "roots")
-        ends = [hook.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab"]
-        edges = materialise(edges.join(ends[0], "a").join(ends[1], "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+            moved = materialise(mapping.join(step, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "roots")
+            discard(mapping)
+            mapping = moved
+        discard(hook)
         if edges.isEmpty():
+            discard(edges)
             return mapping
 
 
 #: Members of a bucket that all its members are held against.
 LEADERS = 3
+#: A bucket that still holds several components is divided further if it has more members than this.
+LARGE = 64
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], divide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the components of all verified links between nodes that share a bucket.
 
     buckets: (bucket, node); nodes: (node, *payload), a row for each node; near(x, y): a condition on the payloads of the
-    frames aliased x and y that no verified link violates; verify(pairs (a, b)) keeps the pairs that are links.
+    frames aliased x and y that no verified link violates; verify(pairs (a, b)) keeps the pairs that are links;
+    divide(members (bucket, node, root, *payload)): the same members in smaller buckets such that two that may be linked
+    still share one.
 
     First every member is held against the LEADERS members of its bucket that share most with others, which links most of a
-    large group of copies by a few times as many pairs as it has members. Then, only in buckets whose members are not yet one
-    component, all pairs across components are tested inside the join. Pairs within a component need no test, so no link that
-    matters is lost.
+    large group of copies by a few times as many pairs as it has members. Buckets that then are one component are done. Of
+    the others those of more than LARGE members are divided, and in what remains pairs across components are tested inside
+    the join. Pairs within a component need no test, so no link that matters is lost, and no bucket of more than LARGE members
+    makes all its pairs before it is divided.
     """
     own = Window.partitionBy("bucket")
     members = buckets.select("*", F.count("*").over(own).alias("size")).where("size > 1")
@@ -65,13 +79,27 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str,
     led = leaders.groupBy("bucket").agg(*[F.max(F.when(F.col("place") == k, F.col("node"))).alias(f"l{k}") for k in range(1, LEADERS + 1)])
     stars = ranked.join(led, "bucket").select("node", F.explode(F.array(*[f"l{k}" for k in range(1, LEADERS + 1)])).alias("lead")).where("lead != node")
     stars = materialise(stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "stars")
+    discard(ranked)
     tested = stars.join(nodes.alias("y"), F.col("b") == F.col("y.node")).join(nodes.alias("x"), F.col("a") == F.col("x.node")).where(near("x", "y"))
-    links = materialise(verify(tested.select("a", "b")).select("a", "b"), "star-links")
+    links = verify(tested.select("a", "b"))
     roots = components(links)
     labelled = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.select("*", F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi")).where("lo != hi").select("bucket", "node", "root")
-    mixed = materialise(mixed.join(nodes, "node"), "mixed")
-    across = mixed.alias("x").join(mixed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & near("x", "y"))
-    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = materialise(verify(pairs.join(stars, ["a", "b"], "left_anti")).select("a", "b"), "cross-links")
-    return roots if more.isEmpty() else components(links.union(more))
+    mixed = labelled.select("*", F.min("root").over(own).alias("_low"), F.max("root").over(own).alias("_high"), F.count("*").over(own).alias("size")).where("_low != _high")
+    mixed = materialise(mixed.select("bucket", "node", "root", "size").join(nodes, "node"), "mixed")
+    discard(members)
+    parts = [mixed.where(F.col("size") <= LARGE).drop("size")]
+    large = mixed.where(F.col("size") > LARGE).drop("size")
+    if not large.isEmpty():
+        large = divide(large).select("*", F.min("root").over(own).alias("_low"), F.max("root").over(own).alias("_high")).where("_low != _high").drop("_low", "_high")
+        parts.append(materialise(large, "divided"))
+    pairs = None
+    for m in parts:
+        across = m.alias("x").join(m.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & near("x", "y"))
+        some = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    pairs = materialise(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    discard(mixed, stars, *parts[1:])
+    more = verify(pairs)
+    out = roots if more.isEmpty() else components(links.union(more))
+    discard(pairs, links, more, *([] if out is roots else [roots]))
+    return out

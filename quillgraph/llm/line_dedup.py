@@ -1,4 +1,9 @@
-"""Fuzzy line deduplication by SimHash, in DataFrame functions only."""
+"""Fuzzy line deduplication by SimHash, in DataFrame functions only.
+
+A word votes in one class only, chosen by its hash, so the SimHash is a row of CLASSES symbols of BITS bits, and a changed word
+touches two symbols at most: the old word's and the new one's. Lines whose SimHashes differ in at most DISTANCE symbols agree on
+BLOCKS - DISTANCE of BLOCKS blocks of symbols and meet in the bucket of that choice of blocks.
+"""
 
 from __future__ import annotations
 
@@ -9,107 +14,189 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import bucket_components
-from .shared import materialise
+from .shared import discard, materialise
 
-#: A SimHash has 64 bits in BLOCKS blocks; two that differ in at most DISTANCE bits agree on BLOCKS - DISTANCE blocks.
-BLOCKS, DISTANCE = 5, 3
-_LANES = 0x0000000100000001
+CLASSES, BITS, BLOCKS, DISTANCE = 20, 5, 5, 2
+#: Symbols in a number; a SimHash is two numbers, lo and hi. Bit j of symbol k is bit LANE * j + k % HALF.
+HALF = CLASSES // 2
+#: A class's sums lie in one number, LANE bits each: the weight of its words, then of those with each bit set.
+LANE = 10
+_ONES = sum(1 << LANE * j for j in range(BITS))
+_MOST = (1 << LANE - 1) - 1
+#: Two lines of more characters are compared by words, in pieces of PIECE words.
+LONG, PIECE = 256, 512
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, runs of anything but letters and digits as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    """The words of a line in lower case: runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
 def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, _text (a hash of the text), line (from 0) and norm of each \\n-split line."""
+    """_id, _text (a hash of the text), line (from 0) and words of each \\n-split line that has a letter or digit."""
     rows = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    return rows.select("_id", "_text", "line", normalised(F.col("raw")).alias("norm"))
+    return rows.select("_id", "_text", "line", normalised(F.col("raw")).alias("words")).where(F.size("words") > 0)
+
+
+def _or(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def sim_hashes(lines: DataFrame, key: list[str]) -> DataFrame:
-    """key and sim of lines (key, norm): the 64-bit SimHash of the words of norm, each as often as it occurs.
+    """key, lo and hi of lines (key, words): CLASSES symbols of BITS bits, HALF of them in each number.
 
-    A word weighs by its letters beyond two (62 at most), and a little in any case: the short words that all lines of a
-    language share would else make their SimHashes alike. Sums hold for lines of a million words.
+    A word weighs by its letters beyond two (1 to 4), as lines of one language share their short words; a bit of a symbol is
+    set if more than half the weight in its class has it. Beyond a weight of _MOST in a class (lines of some 2,500 words) its
+    sums run into each other; the symbol still depends on the words of its class alone.
     """
-    weight = 64 * F.greatest(F.least(F.length("word"), F.lit(64)) - 2, F.lit(0)) + 1
-    hashed = lines.select(*key, F.explode(F.split("norm", " ")).alias("word")).select(*key, F.xxhash64("word").alias("h"), weight.cast("long").alias("w"))
-    # two bits are counted in each number
-    counts = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES)) * F.col("w")).alias(f"c{i}") for i in range(32)]
-    counted = hashed.groupBy(*key).agg(F.sum("w").alias("n"), *counts)
-    ones = {i + 32 * upper: F.shiftrightunsigned(f"c{i}", 32 * upper).bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(32) for upper in range(2)}
-    return counted.select(*key, _bits({b: 2 * c > F.col("n") for b, c in ones.items()}).alias("sim"))
+    words = lines.select(*key, F.explode("words").alias("word"))
+    weight = F.greatest(F.least(F.length("word") - 2, F.lit(4)), F.lit(1)).cast("long")
+    words = words.select(*key, F.xxhash64("word").alias("h"), weight.alias("w"))
+    vote = (F.col("h").bitwiseAND(F.lit(_ONES << LANE)) + 1) * F.col("w")
+    words = words.select(*key, F.pmod("h", F.lit(CLASSES)).cast("int").alias("c"), vote.alias("v"))
+    zero = F.lit(0).cast("long")
+    counted = words.groupBy(*key).agg(*[F.try_sum(F.when(F.col("c") == k, F.col("v")).otherwise(zero)).alias(f"v{k}") for k in range(CLASSES)])
+
+    def symbol(k: int) -> Column:
+        # _MOST + 2 * ones - weight, in all lanes at once: its highest bit says whether ones are more than half
+        v = F.coalesce(f"v{k}", zero)
+        lanes = 2 * F.shiftrightunsigned(v, LANE) + (_MOST - v.bitwiseAND(F.lit((1 << LANE) - 1))) * _ONES
+        return F.shiftleft(F.shiftrightunsigned(lanes, LANE - 1).bitwiseAND(F.lit(_ONES)), k % HALF)
+
+    return counted.select(*key, _or([symbol(k) for k in range(HALF)]).alias("lo"), _or([symbol(k) for k in range(HALF, CLASSES)]).alias("hi"))
 
 
-def _bits(flags: dict[int, Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(f, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b, f in sorted(flags.items())))
+def _masks(symbols: set[int]) -> list[Column]:
+    """The bits of these symbols in lo and hi."""
+    return [F.lit(sum(_ONES << k % HALF for k in symbols if k // HALF == side)).cast("long") for side in (0, 1)]
 
 
-def sim_blocks(sim: Column) -> list[Column]:
-    """A key for each choice of BLOCKS - DISTANCE blocks."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+_EDGES = [CLASSES * i // BLOCKS for i in range(BLOCKS + 1)]
+#: The symbols in which the members of each of a line's buckets may differ.
+OPEN = [sorted(k for b in left for k in range(_EDGES[b], _EDGES[b + 1])) for left in combinations(range(BLOCKS), DISTANCE)]
+
+
+def sim_blocks() -> list[Column]:
+    """A key for each choice of BLOCKS - DISTANCE blocks of lo and hi."""
     keys = []
-    for n, kept in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        mask = sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in kept)
-        keys.append(F.xxhash64(F.lit(n), sim.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    for n, left in enumerate(OPEN):
+        lo, hi = _masks(set(range(CLASSES)) - set(left))
+        keys.append(F.xxhash64(F.lit(n), F.col("lo").bitwiseAND(lo), F.col("hi").bitwiseAND(hi)))
     return keys
 
 
-def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """_id, _text, line, group_id of every line that takes part, and first: whether it is the one its group keeps.
+def divided(members: DataFrame) -> DataFrame:
+    """members (bucket, node, lo, hi, ...) of large buckets in smaller ones, by some of their open symbols.
+
+    The open symbols fall into DISTANCE + 2 parts, of which any two members of at most DISTANCE different symbols agree on
+    two; the members of a new bucket agree on a choice of two.
+    """
+    ways = []
+    for left in OPEN:
+        parts = [set(left[i :: DISTANCE + 2]) for i in range(DISTANCE + 2)]
+        ways.append(F.array(*[F.array(*_masks(a | b)) for a, b in combinations(parts, 2)]))
+    way = F.array_position(F.array(*sim_blocks()), F.col("bucket")).cast("int")
+    parts = members.select("*", F.posexplode(F.element_at(F.array(*ways), way)).alias("_n", "_mask"))
+    key = F.xxhash64("bucket", "_n", F.col("lo").bitwiseAND(F.col("_mask")[0]), F.col("hi").bitwiseAND(F.col("_mask")[1]))
+    return parts.withColumn("bucket", key).drop("_n", "_mask")
+
+
+def symbols_apart(x: str, y: str) -> Column:
+    """In how many symbols the SimHashes of frames x and y differ."""
+    z = [F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("lo", "hi")]
+    return sum((F.bit_count(_or([F.shiftrightunsigned(h, LANE * j) for j in range(BITS)]).bitwiseAND(F.lit((1 << HALF) - 1))) for h in z), F.lit(0))
+
+
+def coded(words: Column) -> Column:
+    """A character for each word, one of 20,000 by its hash."""
+    one = lambda w: F.decode(F.unhex(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00)), "UTF-16BE")
+    return F.array_join(F.transform(words, one), "")
+
 
-    Lines of at least min_words normalised words take part. Lines of equal normal form belong together, and so do lines whose
-    SimHashes differ in at most DISTANCE bits and whose normal forms have levenshtein distance at most
-    (1 - similarity) * length of the longer; groups are the connected components of that. The first line of a group by
-    (doc_id, line, hash of the text) is kept. Rows equal in doc_id and text are one occurrence.
+def similar(x: str, y: str, similarity: float) -> Column:
+    """Whether the edit distance of two lines (frames x and y of norm and words) is at most (1 - similarity) * length of the longer.
+
+    norm is the line's words joined by spaces, null if that is longer than LONG; words has a character for each word. Where a
+    norm is null the distance is that of words: the sum over pieces of PIECE words each, which is never less than the distance
+    of the whole lines and takes time in proportion to their length.
     """
-    taking = lines_of(df, doc_id, text).where(F.size(F.split("norm", " ")) >= min_words)
-    keyed = taking.select("_id", "_text", "line", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), F.length("norm").alias("chars"), "norm")
+    x_norm, y_norm = F.col(f"{x}.norm"), F.col(f"{y}.norm")
+    allowed = F.floor((1 - similarity) * F.greatest(F.length(x_norm), F.length(y_norm)) + 1e-9).cast("int")
+    # -1 beyond the allowed distance; only a band of that width is computed
+    by_characters = F.call_function("levenshtein", x_norm, y_norm, allowed) >= 0
+    a, b = F.col(f"{x}.words"), F.col(f"{y}.words")
+    longer = F.greatest(F.length(a), F.length(b))
+    starts = F.sequence(F.lit(0), F.floor((longer - 1) / PIECE).cast("int"))
+    apart = F.aggregate(starts, F.lit(0), lambda d, i: d + F.levenshtein(F.substr(a, i * PIECE + 1, F.lit(PIECE)), F.substr(b, i * PIECE + 1, F.lit(PIECE))))
+    return F.when(x_norm.isNotNull() & y_norm.isNotNull(), by_characters).otherwise(apart <= F.floor((1 - similarity) * longer + 1e-9))
+
+
+def _groups(df: DataFrame, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (_id, _text, line, k1, k2), and k1, k2, group_id, first_at and alone (nothing repeats it) of different lines."""
+    taking = lines_of(df, doc_id, text)
     key = ["k1", "k2"]
+    chars = F.length(F.array_join("words", " ")).alias("chars")
+    keyed = taking.select("_id", "_text", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), chars, "words")
     # rows equal in doc_id and text count their words together, which leaves the SimHash as it is
     occurrences = materialise(sim_hashes(keyed, ["_id", "_text", "line", *key, "chars"]), "lines")
-    distinct = occurrences.groupBy(*key).agg(F.min("sim").alias("sim"), F.min("chars").alias("chars"), F.min(F.struct("_id", "_text", "line")).alias("at"))
-    distinct = materialise(distinct.select(*key, "sim", "chars", "at", F.monotonically_increasing_id().alias("node")), "different-lines")
-    nodes = distinct.select("node", "sim", "chars")
+    distinct = occurrences.groupBy(*key).agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min("chars").alias("chars"), F.min(F.struct("_id", "_text", "line")).alias("at"), F.count("*").alias("copies"))
+    distinct = materialise(distinct.select("*", F.monotonically_increasing_id().alias("node")), "different-lines")
+    nodes = distinct.select("node", "lo", "hi", "chars")
 
     def near(x: str, y: str) -> Column:
-        bits = F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim")))
         a, b = F.col(f"{x}.chars"), F.col(f"{y}.chars")
-        return (bits <= DISTANCE) & (F.least(a, b) >= similarity * F.greatest(a, b))
+        return (symbols_apart(x, y) <= DISTANCE) & (F.least(a, b) >= similarity * F.greatest(a, b))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "line-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = materialise(distinct.join(wanted, "node").select("node", "chars", "at.*"), "wanted-lines")
-        # the texts of wanted lines, cut from their first documents
-        places = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
-        texts = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_whole"), F.xxhash64(text).alias("_text"))
-        texts = texts.alias("t").join(places.alias("p"), F.col("t._id").eqNullSafe(F.col("p._id")) & (F.col("t._text") == F.col("p._text")))
-        cut = texts.select(F.split("_whole", "\n").alias("all"), F.explode("lines").alias("l")).select("l.node", normalised(F.expr("all[l.line]")).alias("norm"))
-        cut = materialise(cut.dropDuplicates(["node"]), "line-texts")
-        held = pairs.join(cut.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b").join(cut.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a")
-        longest = F.greatest(F.length("x"), F.length("y"))
-        allowed = F.floor((1 - similarity) * longest + 1e-9)
-        return held.where(F.levenshtein("x", "y") <= allowed).select("a", "b")
-
-    buckets = nodes.select("node", F.explode(F.array(*sim_blocks(F.col("sim")))).alias("bucket")).select("bucket", "node")
-    roots = bucket_components(buckets, nodes, near, verify)
-    grouped = distinct.join(roots, "node", "left").withColumn("group_id", F.coalesce("root", "node"))
-    firsts = grouped.groupBy("group_id").agg(F.min("at").alias("first_at"))
-    labels = materialise(grouped.join(firsts, "group_id").select(*key, "group_id", "first_at"), "line-groups")
-    return occurrences.join(labels, key).select("_id", "_text", "line", "group_id", F.struct("_id", "_text", "line").eqNullSafe(F.col("first_at")).alias("first"))
-
-
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
+        # the wanted lines, cut from the first document that holds them
+        places = distinct.join(wanted, "node").select("node", "chars", "at.*").groupBy("_id", "_text").agg(F.collect_list(F.struct("line", "node", "chars")).alias("lines"))
+        whole = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_whole"), F.xxhash64(text).alias("_text"))
+        found = whole.alias("t").join(places.alias("p"), F.col("t._id").eqNullSafe(F.col("p._id")) & (F.col("t._text") == F.col("p._text")))
+        cut = found.select(F.split("_whole", "\n").alias("all"), F.explode("lines").alias("l")).select("l.node", "l.chars", normalised(F.expr("all[l.line]")).alias("words"))
+        cut = cut.select("node", F.when(F.col("chars") <= LONG, F.array_join("words", " ")).alias("norm"), coded(F.col("words")).alias("words"))
+        texts = materialise(cut.dropDuplicates(["node"]), "line-texts")
+        held = pairs.join(texts.alias("y"), F.col("b") == F.col("y.node")).join(texts.alias("x"), F.col("a") == F.col("x.node"))
+        links = materialise(held.where(similar("x", "y", similarity)).select("a", "b"), "line-links")
+        discard(pairs, texts)
+        return links
+
+    buckets = nodes.select("node", F.explode(F.array(*sim_blocks())).alias("bucket")).select("bucket", "node")
+    roots = bucket_components(buckets, nodes, near, verify, divided)
+    grouped = distinct.select(*key, "node", "at", "copies").join(roots, "node", "left")
+    grouped = grouped.select(*key, F.coalesce("root", "node").alias("group_id"), "at", (F.col("root").isNull() & (F.col("copies") == 1)).alias("alone"), F.col("root").isNotNull().alias("linked"))
+    # a line that is linked with no other is its group's first
+    firsts = grouped.where("linked").groupBy("group_id").agg(F.min("at").alias("first_at"))
+    labels = grouped.join(firsts, "group_id", "left").select(*key, "group_id", F.coalesce("first_at", "at").alias("first_at"), "alone")
+    labels = materialise(labels, "line-groups")
+    discard(distinct, roots)
+    return occurrences.select("_id", "_text", "line", *key), labels
+
+
+def duplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """_id, _text, line, group_id of every line with a letter or digit, and first: whether it is the one its group keeps.
+
+    Lines of equal words belong together, and so do lines whose SimHashes differ in at most DISTANCE symbols and that are
+    similar() enough; groups are the connected components of that. The first line of a group by (doc_id,
+    line, hash of the text) is kept; null doc_ids come first. Rows equal in doc_id and text are one occurrence. Null and
+    empty texts, and an empty df, have no lines. Extra columns of df, whatever their names, play no part.
+    """
+    occurrences, labels = _groups(df, doc_id, text, similarity)
+    found = occurrences.join(labels, ["k1", "k2"])
+    return found.select("_id", "_text", "line", "group_id", F.struct("_id", "_text", "line").eqNullSafe(F.col("first_at")).alias("first"))
+
+
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """df with its text less the lines that repeat earlier ones, and n_lines and n_removed_lines (null texts: null, 0, 0).
 
     What repeats is said at duplicate_lines(). A text none of whose lines stay becomes "". Columns of df named like new ones
     are replaced.
     """
     df = df.drop("n_lines", "n_removed_lines")
-    found = duplicate_lines(df, doc_id, text, min_words, similarity)
-    removed = found.where("not first").select("_id", "_text", "line").distinct().groupBy("_id", "_text").agg(F.collect_list("line").alias("_gone"))
+    occurrences, labels = _groups(df, doc_id, text, similarity)
+    again = occurrences.join(labels.where("not alone"), ["k1", "k2"]).where(~F.struct("_id", "_text", "line").eqNullSafe(F.col("first_at")))
+    removed = again.select("_id", "_text", "line").distinct().groupBy("_id", "_text").agg(F.collect_list("line").alias("_gone"))
     removed = materialise(removed, "removed-lines")
     keyed = df.withColumn("_id", F.col(doc_id)).withColumn("_text", F.xxhash64(text))
     out = keyed.alias("t").join(removed.alias("r"), F.col("t._id").eqNullSafe(F.col("r._id")) & (F.col("t._text") == F.col("r._text")), "left")

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import bucket_components
-from .shared import bound_batches, materialise, replaced, text_slices
+from .shared import bound_batches, discard, materialise, replaced, text_slices
 from .words import Words, mix
 
 #: Rows of a band, and bands. A pair of similarity 0.85 shares none with probability (1 - 0.85**5)**36 < 1e-9.
 ROWS, BANDS = 5, 36
 SAMPLES = ROWS * BANDS
+#: A large bucket is divided by each of so many bands after its own, so any two bands meet in one of their buckets. A pair of
+#: similarity 0.85 that shares a band at all shares no second one with probability below 1e-7.
+FURTHER = BANDS // 2
 #: Bits of an odd sketch, as 16 longs.
 BITS = 1024
 #: Bits of the odd sketch of a whole set.
@@ -187,13 +190,23 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         y, x = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ba")
         held = pairs.join(y, "b").join(x, "a")
         both = F.size(F.array_intersect("sa", "sb"))
-        return held.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+        links = materialise(held.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "set-links")
+        discard(pairs, wanted, sets)
+        return links
+
+    def divide(members: DataFrame) -> DataFrame:
+        """A bucket's members by a second band that they share too, one of the FURTHER bands after the bucket's own."""
+        at = F.array_position("bands", F.col("bucket")).cast("int") - 1
+        after = F.slice(F.concat("bands", "bands"), at + 2, FURTHER)
+        parts = members.join(first.select("node", "bands"), "node").withColumn("_band", F.explode(after))
+        return parts.withColumn("bucket", F.xxhash64("bucket", "_band")).drop("_band", "bands")
 
     buckets = first.select("node", F.explode("bands").alias("bucket")).select("bucket", "node")
-    roots = bucket_components(buckets, nodes, near, verify)
+    roots = bucket_components(buckets, nodes, near, verify, divide)
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = materialise(grouped.join(least, "root").select(*key, "component_id"), "labels")
+    discard(classes, first, roots)
     plain = [c for c in rows.columns if c not in {*key, "bands", "sketch", "parity", "_row", "_text"}]
     # an empty set is its own component; equal sets lie in one
     out = rows.select(*plain, *key).join(labels.withColumn("_found", F.lit(True)), key, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,9 +30,16 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (as in tests) gets a temporary folder; on a cluster that is an error, as
+    executors don't see each other's folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         root = getattr(scratch_root, "own", None)
         if root is None:
             root = scratch_root.own = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
@@ -44,14 +52,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
 
 
+#: A write's shuffle files go when it ends: what follows reads the written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, columns stay prunable."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    # shuffle files of earlier steps go when the driver's JVM finds their plans unreachable, which may take long by itself
-    spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise() wrote and nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import line_dedup, near_dedup, quality_rules
-from quillgraph.llm.graph import components
+from quillgraph.llm.graph import bucket_components, components
+from quillgraph.llm.shared import materialise
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -114,10 +115,28 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def apart(x, y):
+    """Symbols in which two SimHashes (lo, hi) differ."""
+    return sum(any((p ^ q) >> line_dedup.LANE * j + k & 1 for j in range(line_dedup.BITS)) for p, q in zip(x, y, strict=True) for k in range(line_dedup.HALF))
+
+
+def hashes_of(spark, lines):
+    """SimHash of each line by its words joined with spaces."""
+    df = spark.createDataFrame([(0, x) for x in lines], "doc_id int, text string")
+    found = line_dedup.lines_of(df, "doc_id", "text").withColumn("norm", F.array_join("words", " ")).dropDuplicates(["norm"])
+    return {r.norm: (r.lo, r.hi) for r in line_dedup.sim_hashes(found, ["norm"]).collect()}
+
+
+def similar(a, b, least=0.8):
+    if max(len(a), len(b)) > line_dedup.LONG:
+        a, b = a.split(), b.split()
+    return levenshtein(a, b) <= int((1 - least) * max(len(a), len(b)) + 1e-9)
+
+
 def test_line_groups_are_those_of_all_pairs(spark):
     rng = random.Random(8)
     vocabulary = [f"word{i}" for i in range(80)]
-    lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(30, 60))) for _ in range(12)]
+    lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 60))) for _ in range(12)]
     docs = []
     for i in range(25):
         own = []
@@ -126,50 +145,118 @@ def test_line_groups_are_those_of_all_pairs(spark):
             if rng.random() < 0.7:
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             own.append((" ".join(w) + ("!!" if rng.random() < 0.3 else "")).capitalize())
-        docs.append((i, "\n".join([*own, "short line", ""])))
-    docs += [(50, None), (51, ""), (3, docs[3][1]), (52, "\n\n")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n_lines string")
-    hashed = {r.norm: r.sim for r in line_dedup.sim_hashes(line_dedup.lines_of(df, "doc_id", "text").where("norm <> ''").select("norm").distinct().withColumn("k", F.col("norm")), ["k", "norm"]).collect()}
+        docs.append((i, "\n".join([*own, "short line", "- -", ""])))
+    docs += [(50, None), (51, ""), (3, docs[3][1]), (52, "\n\n"), (53, "Short? line"), (None, "...\nword1\nword1")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, n_lines string, bucket string")
     normal = lambda t: re.sub(r"[^\w]+", " ", t.lower()).strip()
-    long = sorted(n for n in hashed if len(n.split()) >= 5)
-    parent = {n: n for n in long}
+    hashed = hashes_of(spark, [t for _, t in docs if t])
+    names = sorted(hashed)
+    parent = {n: n for n in names}
     fuzzy = 0
-    for i, a in enumerate(long):
-        for b in long[i + 1 :]:
-            if bin((hashed[a] ^ hashed[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a, b) <= int((1 - 0.8) * max(len(a), len(b)) + 1e-9):
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if apart(hashed[a], hashed[b]) <= line_dedup.DISTANCE and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and similar(a, b):
                 fuzzy += 1
                 parent[find(parent, b)] = find(parent, a)
-    assert fuzzy > 5
+    assert fuzzy > 20
     seen, want = set(), {}
-    for i, t in sorted({d for d in docs if d[1] is not None}):
+    for i, t in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d)):
         kept = []
         for line in t.split("\n"):
             n = normal(line)
-            if n in parent and find(parent, n) in seen:
+            if n and find(parent, n) in seen:
                 continue
-            if n in parent:
+            if n:
                 seen.add(find(parent, n))
             kept.append(line)
         want[i] = ("\n".join(kept), len(t.split("\n")), len(t.split("\n")) - len(kept))
     got = line_dedup.dedup_lines(df).collect()
     assert len(got) == len(docs)
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in got if r.doc_id != 50} == want
-    assert [(r.text, r.n_lines, r.n_removed_lines) for r in got if r.doc_id == 50] == [(None, 0, 0)]
+    assert [(r.text, r.n_lines, r.n_removed_lines, r.bucket) for r in got if r.doc_id == 50] == [(None, 0, 0, "y")]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    assert line_dedup.duplicate_lines(df.limit(0)).count() == 0
+
+
+def test_a_changed_word_is_found(spark):
+    """Recall against edit similarity alone: of lines with a word replaced, put in or left out, at least 0.95 are linked."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 3, 4, 5, 6, 7, 9]))) for _ in range(3000)]
+    pairs = []
+    for k in range(240):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(5, 80))]
+        c = list(w)
+        at = rng.randrange(len(c))
+        c[at : at + (k % 3 != 1)] = [rng.choice(vocabulary)] if k % 3 < 2 else []
+        pairs.append((" ".join(w), " ".join(c)))
+    hashed = hashes_of(spark, [x for p in pairs for x in p])
+    alike = [(a, b) for a, b in pairs if levenshtein(a, b) <= 0.2 * max(len(a), len(b)) and a != b]
+    assert len(alike) > 150
+    linked = [apart(hashed[a], hashed[b]) <= line_dedup.DISTANCE and similar(a, b) for a, b in alike]
+    assert sum(linked) >= 0.95 * len(alike)
+
+
+def test_long_lines(spark):
+    """Lines of 40,000 words with a few changes are one group; a line of 120,000 characters without a space is no trouble."""
+    rng = random.Random(6)
+    long = [f"v{rng.randrange(5000)}" for _ in range(40_000)]
+    other = list(long)
+    other[17] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "x" * 120_000), (4, "x" * 119_999 + "y"), (5, " ".join(reversed(long)))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.text} == {1, 3, 4, 5}
 
 
 def test_pigeonhole_blocks_meet(spark):
     rng = random.Random(1)
+    symbol = lambda lo, hi, k, v: (lo ^ v if k < 10 else lo, hi if k < 10 else hi ^ v)
     rows = []
-    for _ in range(60):
-        a = rng.getrandbits(64)
+    for i in range(80):
+        a = tuple(sum(rng.getrandbits(1) << b for b in range(50)) for _ in range(2))
         b = a
-        for k in rng.sample(range(64), rng.randint(0, 3)):
-            b ^= 1 << k
-        signed = [x - (1 << 64) if x >> 63 else x for x in (a, b)]
-        rows.append(tuple(signed))
-    df = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(F.array(*line_dedup.sim_blocks(F.col("a"))), F.array(*line_dedup.sim_blocks(F.col("b")))).alias("met"))
-    assert df.where("met").count() == len(rows)
+        for k in rng.sample(range(20), rng.randint(0, 2)):
+            b = symbol(*b, k, sum(1 << line_dedup.LANE * j + k % 10 for j in rng.sample(range(5), rng.randint(1, 5))))
+        assert apart(a, b) <= 2
+        rows += [(i, *a), (i, *b)]
+    df = spark.createDataFrame(rows, "pair int, lo long, hi long").withColumn("node", F.monotonically_increasing_id())
+    buckets = df.withColumn("bucket", F.explode(F.array(*line_dedup.sim_blocks())))
+    met = lambda d: d.groupBy("bucket", "pair").count().where("count > 1").select("pair").distinct().count()
+    assert met(buckets) == 80
+    assert met(line_dedup.divided(buckets)) == 80
+    x, y = df.alias("x"), df.alias("y")
+    near = x.join(y, (F.col("x.pair") == F.col("y.pair")) & (F.col("x.node") < F.col("y.node"))).select(line_dedup.symbols_apart("x", "y").alias("d"), "x.lo", "x.hi", F.col("y.lo").alias("l"), F.col("y.hi").alias("h"))
+    assert all(r.d == apart((r.lo, r.hi), (r.l, r.h)) for r in near.collect())
+
+
+def test_a_bucket_of_thousands_of_components(spark):
+    """One bucket's members agree on three blocks; links are exactly those of all pairs, found without making all pairs."""
+    rng = random.Random(2)
+    rest = lambda: sum(rng.getrandbits(1) << line_dedup.LANE * j + k for j in range(5) for k in range(8))
+    sims = [(rest(), 0) for _ in range(3000)]
+    sims += [(lo ^ 1 << 10 * rng.randrange(5) + rng.randrange(8), hi) for lo, hi in sims[:300]]
+    nodes = spark.createDataFrame([(i, *s) for i, s in enumerate(sims)], "node long, lo long, hi long")
+    buckets = nodes.select("node", F.explode(F.array(*line_dedup.sim_blocks())).alias("bucket")).select("bucket", "node")
+    tested = []
+
+    def verify(pairs):
+        tested.append(pairs.count())
+        return materialise(pairs, "links")
+
+    near = lambda x, y: line_dedup.symbols_apart(x, y) <= 2
+    roots = {r.node: r.root for r in bucket_components(buckets, nodes, near, verify, line_dedup.divided).collect()}
+    parent = list(range(len(sims)))
+    for i, a in enumerate(sims):
+        for k in range(i):
+            z = a[0] ^ sims[k][0]
+            if z and (z | z >> 10 | z >> 20 | z >> 30 | z >> 40 & 1023) & 1023 in SMALL or not z:
+                x, y = find(parent, i), find(parent, k)
+                parent[max(x, y)] = min(x, y)
+    want = {i: find(parent, i) for i in range(len(sims))}
+    assert {i: roots.get(i, i) for i in want} == want
+    assert sum(tested) < 20 * len(sims)
+
+
+SMALL = {x for x in range(1024) if x.bit_count() <= 2}
 
 
 def test_quality_counts_and_verdicts(spark):
