@@ -35,7 +35,7 @@ def normalised(line: Column) -> Column:
 def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_id, _text (a hash of the text), line (from 0) and words of each \\n-split line that has a letter or digit."""
     rows = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    return rows.select("_id", "_text", "line", normalised(F.col("raw")).alias("words")).where(F.size("words") > 0)
+    return rows.where(F.col("raw").rlike(r"[\p{L}\p{N}]")).select("_id", "_text", "line", normalised(F.col("raw")).alias("words"))
 
 
 def _or(parts: list[Column]) -> Column:
