@@ -23,7 +23,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from .shared import gather
+from .shared import HEADS, eights, gather, span_hashes
 
 #: White space as the tokenizer files' regular expressions take it (Unicode White_Space).
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -311,37 +311,6 @@ CLASS = np.full(256, OTHER, np.uint8)
 CLASS[128:] = LETTER
 for _c in range(128):
     CLASS[_c] = LETTER if chr(_c).isalpha() else NUMBER if chr(_c).isdigit() else BLANK if _c == 32 or 9 <= _c <= 13 else OTHER
-_noise = np.random.default_rng(7).integers(1, 2**63, 257, dtype=np.uint64)
-NOISE = _noise[:256] * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-
-
-class Powers:
-    """BASE**i and BASE**-i modulo 2**64."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = 1 << (n - 1).bit_length()
-            for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                a = np.full(m, factor, np.uint64)
-                a[0] = 1
-                setattr(cls, name, np.cumprod(a, dtype=np.uint64))
-        return cls.up, cls.down
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes; equal spans have equal hashes wherever they lie."""
-    up, down = Powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(NOISE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-    h = (total[starts + lengths] - total[starts]) * down[starts]
-    h ^= lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
 
 
 def split_bytes(data: np.ndarray, doc_starts: np.ndarray, suffixed: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -393,46 +362,80 @@ def split_bytes(data: np.ndarray, doc_starts: np.ndarray, suffixed: bool) -> tup
 
 
 class WordMemo:
-    """Ids of words already encoded in this process, as ragged arrays; emptied when it holds `limit` words."""
+    """Ids of words already encoded in this process, as ragged arrays; emptied when it holds `limit` words.
+
+    A word is found by a hash and then compared: its first 16 bytes as two numbers, and any further bytes one by one.
+    """
 
     def __init__(self, vocabulary: Vocabulary, encode: Callable, limit: int = 600_000):
         self.v, self.encode, self.limit = vocabulary, encode, limit
         self._clear()
 
     def _clear(self) -> None:
+        self.table, self.n, self.used, self.kept = HashRows(), 0, 0, 0
+        self.ids, self.counts, self.starts = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
+        #: of each word: bytes, the first 16 of them, and where in `rest` the others lie
+        self.sizes, self.first, self.second, self.at, self.rest = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
         raw = [s.encode() for s in self.v.specials]
         lengths = np.array(list(map(len, raw)), np.int64)
-        self.table = HashRows()
-        self.table.add(span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths), np.arange(len(raw)))
-        self.ids, self.used, self.n = np.array(list(self.v.specials.values()), np.int32), len(raw), len(raw)
-        self.counts, self.starts = np.ones(len(raw), np.int32), np.arange(len(raw), dtype=np.int64)
+        data, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths
+        rows = self._add(data, starts, lengths, np.array(list(self.v.specials.values()), np.int32), np.ones(len(raw), np.int64))
+        self.table.add(span_hashes(data, starts, lengths), rows)
 
-    def _room(self, name: str, more: int) -> None:
+    def _put(self, name: str, used: int, values: np.ndarray) -> None:
         a = getattr(self, name)
-        used = self.used if name == "ids" else self.n
-        if used + more > len(a):
-            setattr(self, name, np.concatenate([a, np.zeros(used + more, a.dtype)]))
+        if used + len(values) > len(a):
+            setattr(self, name, a := np.concatenate([a, np.zeros(used + len(values), a.dtype)]))
+        a[used : used + len(values)] = values
+
+    @staticmethod
+    def _heads(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q = eights(data)
+        return q[starts] & HEADS[np.minimum(lengths, 8)], q[np.minimum(starts + 8, len(data))] & HEADS[np.clip(lengths - 8, 0, 8)]
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Rows of new words with their ids."""
+        more = np.maximum(lengths - 16, 0)
+        first, second = self._heads(data, starts, lengths)
+        tail = data[gather(starts + 16, more)]
+        for name, values in (("counts", counts), ("starts", self.used + np.cumsum(counts) - counts), ("sizes", lengths), ("first", first), ("second", second), ("at", self.kept + np.cumsum(more) - more)):
+            self._put(name, self.n, values)
+        self._put("ids", self.used, ids)
+        self._put("rest", self.kept, tail)
+        rows = self.n + np.arange(len(starts))
+        self.n, self.used, self.kept = self.n + len(starts), self.used + len(ids), self.kept + len(tail)
+        return rows
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        symbols = data[gather(starts, lengths)].astype(np.int32)
+        if self.v.suffix:
+            symbols[np.cumsum(lengths) - 1] += 256
+        return self._add(data, starts, lengths, *self.encode(self.v.base[symbols], lengths))
+
+    def _others(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of the words that are not the ones of their rows."""
+        first, second = self._heads(data, starts, lengths)
+        same = (self.first[rows] == first) & (self.second[rows] == second) & (self.sizes[rows] == lengths)
+        long = np.flatnonzero(same & (lengths > 16))
+        if len(long):
+            more = lengths[long] - 16
+            differ = data[gather(starts[long] + 16, more)] != self.rest[gather(self.at[rows[long]], more)]
+            same[long[np.unique(np.repeat(np.arange(len(long)), more)[differ])]] = False
+        return np.flatnonzero(~same)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Row of each word in starts and counts; words are spans of the bytes."""
         keys = span_hashes(data, starts, lengths)
-        out = self.table.get(keys)
+        out = self.table.get(keys).astype(np.int64)
         missing = np.flatnonzero(out < 0)
         if len(missing):
             fresh, where, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            at, size = starts[missing[where]], lengths[missing[where]]
-            symbols = data[gather(at, size)].astype(np.int32)
-            if self.v.suffix:
-                symbols[np.cumsum(size) - 1] += 256
-            ids, counts = self.encode(self.v.base[symbols], size)
-            for name, more in (("ids", len(ids)), ("counts", len(fresh)), ("starts", len(fresh))):
-                self._room(name, more)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.counts[self.n : self.n + len(fresh)] = counts
-            self.starts[self.n : self.n + len(fresh)] = self.used + np.cumsum(counts) - counts
-            self.table.add(fresh, self.n + np.arange(len(fresh)))
-            out[missing] = self.n + back
-            self.used, self.n = self.used + len(ids), self.n + len(fresh)
+            rows = self._encoded(data, starts[missing[where]], lengths[missing[where]])
+            self.table.add(fresh, rows)
+            out[missing] = rows[back]
+        # words that share another's hash are encoded whenever they come
+        if len(others := self._others(out, data, starts, lengths)):
+            out[others] = self._encoded(data, starts[others], lengths[others])
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import bucket_components
-from .shared import bound_batches, discard, materialise, replaced, text_slices
-from .words import Words, mix
+from .shared import bound_batches, discard, materialise, mix, replaced, text_slices
+from .words import Words
 
 #: Rows of a band, and bands. A pair of similarity 0.85 shares none with probability (1 - 0.85**5)**36 < 1e-9.
 ROWS, BANDS = 5, 36

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import span_hashes
-from .shared import bound_batches, materialise, replaced, text_slices
-from .words import Words, mix
+from .shared import bound_batches, materialise, mix, replaced, span_hashes, text_slices
+from .words import Words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python works on this many bytes of text at once (a longer text is one batch by itself).
@@ -105,6 +106,51 @@ def replaced(batch: pa.RecordBatch, drop: Iterable[str] = (), **columns: pa.Arra
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(columns.values()), names=names)
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = h ^ (h >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+#: Spans of more bytes are hashed one by one.
+_LONG = 1024
+#: By a number of bytes up to 8, the bits of so many first bytes.
+HEADS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of the data on, and from its end, as numbers; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes, 8 bytes after 8 bytes; equal spans have equal hashes wherever they lie."""
+    q = eights(data)
+    starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
+    h = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at, left, own = starts, lengths, None
+    if (lengths > _LONG).any():
+        own = np.flatnonzero(lengths <= _LONG)
+        at, left = starts[own], lengths[own]
+        for i in np.flatnonzero(lengths > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    while len(at):
+        some = q[at]
+        some &= HEADS[np.minimum(left, 8)]
+        if own is None:
+            h = mix(h + mix(some))
+        else:
+            h[own] = mix(h[own] + mix(some))
+        more = np.flatnonzero(left > 8)
+        own = more if own is None else own[more]
+        at, left = at[more] + 8, left[more] - 8
+    return h
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of the ragged pieces start..start+length, one after the other."""
     total = int(lengths.sum())

@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import span_hashes
-from .shared import bound_batches, materialise, replaced, text_slices
-from .words import mix
+from .shared import bound_batches, materialise, mix, replaced, span_hashes, text_slices
 
 #: At most about this many labelled rows, chosen by a hash of their doc_id, fit the evidence.
 SAMPLE = 50_000

@@ -137,3 +137,48 @@ def test_file_round_trip(spark):
         want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
     assert not any(want.values())
     assert token_files.round_trip(frame(spark, []), tokenizer_path(BYTE), 2).count() == 0
+
+
+def thue_morse(n):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_words_of_equal_structure_are_told_apart(name, n):
+    texts = list(thue_morse(n))
+    for method in ("speculate", "merge_synchronously"):
+        ids, counts = memo(tokenizer_path(name), method).text_ids(texts)
+        want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+        assert [ids[: counts[0]].tolist(), ids[counts[0] :].tolist()] == want
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """With a hash of three values every word is still compared with the one remembered."""
+    from quillgraph.llm import bpe
+
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, lengths: (np.asarray(lengths, np.uint64) % np.uint64(3)) << np.uint64(60))
+    for name, method in ((WORD, "speculate"), (BYTE, "merge_synchronously")):
+        v = Vocabulary(tokenizer_path(name))
+        m = bpe.WordMemo(v, getattr(v, method))
+        texts = [*TEXTS, "x" * 40 + "y", "x" * 40 + "z", "x" * 40 + "y"]
+        for _ in range(2):
+            ids, counts = m.text_ids(texts)
+            ends = np.cumsum(counts)
+            for i, want in enumerate(library(name).encode_batch(texts, add_special_tokens=False)):
+                assert ids[ends[i] - counts[i] : ends[i]].tolist() == want.ids
+
+
+def test_span_hashes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 30_000, dtype=np.uint8)
+    starts = rng.integers(0, 25_000, 4000)
+    lengths = np.where(rng.random(4000) < 0.02, 3000, rng.integers(0, 40, 4000))
+    from quillgraph.llm.shared import span_hashes
+
+    h = span_hashes(data, starts, lengths)
+    spans = [data[a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True)]
+    assert len(set(spans)) == len(set(h.tolist())) == len(set(zip(spans, h.tolist(), strict=True)))
+    alone = span_hashes(np.frombuffer(spans[5], np.uint8), np.zeros(1, np.int64), np.array([len(spans[5])]))
+    assert alone[0] == h[5]
