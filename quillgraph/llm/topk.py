@@ -3,7 +3,8 @@
 Vectors are quantised to whole numbers. The index of a block of rows holds bitmaps: bit b of attribute j of all its rows, of
 the coarse value round(v / STEP) in two's complement. For a query the coarse values times its own are added up by bitmap
 arithmetic, as shifted slices. The k largest sums are found from the most significant slice downward, and all rows whose sum
-comes near enough to the k-th that the exact score might be among the k best are scored exactly.
+comes near enough to the k-th that the exact score might be among the k best are scored exactly. Rows and queries with a value
+of WIDE or more, whose sums might not fit a number, are scored exactly by themselves.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ from .shared import bound_batches, materialise
 
 STEP = 16
 #: Rows of a block and queries of a block.
-ROWS, QUERIES = 16_384, 1_024
+ROWS, QUERIES = 8_192, 512
+#: Tasks wanted at least, where there are so many pairs of blocks.
+TASKS = 64
 SCALE = 1024
+WIDE = 1 << 24
+#: Up to so many different lengths of vectors, a row for each of them is broadcast.
+FEW_LENGTHS = 10_000
 
 
 def _signed_digits(n: int) -> list[tuple[int, int]]:
@@ -99,12 +105,27 @@ class BitSlices:
     def rows(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8))[: self.n])
 
-    def values_of(self, total: np.ndarray) -> np.ndarray:
-        """The sums as numbers."""
-        bits = np.unpackbits(total.view(np.uint8), axis=1)[:, : self.n].astype(np.int64)
+    def values_of(self, total: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The sums of some rows as numbers."""
+        bits = total.view(np.uint8)[:, rows >> 3] >> (7 - (rows & 7)).astype(np.uint8) & 1
         weight = 1 << np.arange(len(total), dtype=np.int64)
         weight[-1] = -weight[-1]
-        return weight @ bits
+        return weight @ bits.astype(np.int64)
+
+    def at_least(self, total: np.ndarray, least: int) -> np.ndarray:
+        """A bitmap of the rows whose sum is at least a number."""
+        size = len(total)
+        if least <= -(1 << size - 1):
+            return np.packbits(np.ones(self.words * 64, np.uint8)).view(np.uint64)
+        above, equal = np.zeros(self.words, np.uint64), np.full(self.words, ~np.uint64(0))
+        for b in range(size - 1, -1, -1):
+            one = ~total[b] if b == size - 1 else total[b]
+            if (least >> b & 1) == (b != size - 1):  # a one, where the sign counts the other way
+                equal = equal & one
+            else:
+                above = above | equal & one
+                equal = equal & ~one
+        return above | equal
 
     def best(self, query: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of the k best for a whole-number query; `own` marks rows that don't count; ties to smaller ids."""
@@ -113,86 +134,133 @@ class BitSlices:
         total = self.sums(weights)
         sure = self.rows(self.at_least_kth(total, want))
         if len(sure) < self.n:
-            coarse = self.values_of(total)
-            kth = coarse[sure].min()
+            kth = int(self.values_of(total, sure).min())
             # |score - STEP**2 * sum| <= |query| * |rest of v| + STEP * |rest of query| * |coarse v|, for both rows compared
             slack = np.linalg.norm(query.astype(float)) * self.rest_norm + STEP * np.linalg.norm((query - STEP * weights).astype(float)) * self.coarse_norm
-            sure = np.flatnonzero(coarse >= kth - np.ceil(2 * slack / STEP**2) - 1)
+            sure = self.rows(self.at_least(total, kth - int(np.ceil(2 * slack / STEP**2)) - 1))
         sure = sure[~own[sure]]
         exact = self.values[sure] @ query
         order = np.lexsort((ids[sure], -exact))[:k]
         return sure[order], exact[order]
 
 
-def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
-    """vec_id, dims and v array<int> of the vectors that are not null and hold finite numbers only."""
-    e = F.col(embedding).cast("array<double>")
-    fine = F.col(embedding).isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.size(embedding).alias("dims"), F.transform(e, lambda x: F.floor(x * scale).cast("int")).alias("v"))
+def quantised(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """floor(scale * x) of finite numbers, of any size, as Python's whole numbers."""
+    return np.array([[int(np.floor(v * scale)) if abs(v) < 2.0**1000 else int(v) * scale for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+class Block:
+    """Rows of one length: the index of the usual ones, and the wide ones as they are."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        with np.errstate(over="ignore"):
+            v = np.floor(x * SCALE)
+        wide = (np.abs(v) >= WIDE).any(axis=1)
+        self.ids, self.usual = ids, np.flatnonzero(~wide)
+        self.slices = BitSlices(v[self.usual].astype(np.int64))
+        self.usual_ids, self.wide_ids, self.wide = ids[self.usual], ids[wide], quantised(x[wide])
+        self.x = x
 
+    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """vec_ids and scores of the k best rows of other vec_ids; a score beyond a long is the nearest long."""
+        with np.errstate(over="ignore"):
+            q = np.floor(query * SCALE)
+        if (np.abs(q) >= WIDE).any():
+            ids, scores = self.ids, quantised(self.x) @ quantised(query[None])[0]
+        else:
+            at, scores = self.slices.best(q.astype(np.int64), k, self.usual_ids == query_id, self.usual_ids)
+            ids = self.usual_ids[at]
+            if not len(self.wide_ids):
+                return ids, scores
+            ids, scores = np.r_[ids, self.wide_ids], np.r_[scores.astype(object), self.wide @ quantised(query[None])[0]]
+        found = [(-max(-(1 << 63), min((1 << 63) - 1, int(s))), i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True) if i != query_id]
+        found = sorted(found)[:k]
+        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
 
-def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
-    return lists.flatten().to_numpy().astype(np.int64).reshape(len(lists), dims)
+
+def taking_part(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """vec_id, dims and x of the rows that have a vec_id and a vector of finite numbers."""
+    x = F.col(embedding)
+    fine = x.isNotNull() & F.col(vec_id).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    return df.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.size(x).alias("dims"), x.alias("x"))
+
+
+def _gathered(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """A row for each (dims, key) of rows (dims, key, vec_id, x): ids and vectors as bytes, numbers as 64-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(vectors)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["dims", key, "ids", "vectors"])
+
+        for b in batches:
+            dims, keys = np.asarray(b.column("dims")), np.asarray(b.column(key))
+            cuts = [0, *(np.flatnonzero((np.diff(dims) != 0) | (np.diff(keys) != 0)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if now != (dims[start], keys[start]):
+                    if now is not None:
+                        yield out()
+                    now, ids, vectors = (dims[start], keys[start]), [], []
+                part = b.slice(start, end - start)
+                ids.append(np.asarray(part.column("vec_id")).astype("<i8").tobytes())
+                vectors.append(part.column("x").flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+        if now is not None:
+            yield out()
+
+    dealt = rows.repartition(total, "dims", key).sortWithinPartitions("dims", key)
+    return dealt.mapInArrow(run, f"dims int, {key} bigint, ids binary, vectors binary")
 
 
 def search(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k highest integer inner products of each query with all other rows.
 
     Queries are the rows whose vec_id is divisible by `every`; a row with the query's vec_id is no candidate of it. Components
-    x become floor(SCALE * x), which must lie below 2**24. Vectors that are null or hold null or non-finite numbers take no
-    part; vectors of different length are not compared. Ties go to the smaller vec_id; repeated rows are candidates each.
-    Null vec_ids are neither queries nor candidates.
+    x become floor(SCALE * x), x as a double; a score beyond a long's range is the nearest long. Vectors that are null or hold
+    null or non-finite numbers take no part; vectors of different length are not compared; empty vectors score 0. Ties go to
+    the smaller vec_id; repeated rows are candidates each. Null vec_ids are neither queries nor candidates. An empty df gives
+    no rows; other columns of df play no part.
+
+    Each block of rows meets each block of queries of its length, as the search asks: rows go to their block, and the queries,
+    which are fewer, to every block.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    rows = quantised(df, vec_id, embedding).where("vec_id is not null")
-    blocks = max(1, -(-rows.count() // ROWS))
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dims: int) -> pa.RecordBatch:
-            ids, lists = (pa.concat_arrays([x[i] for x in held[dims]]) for i in (0, 1))
-            held[dims] = []
-            raw = _matrix(lists, dims).astype("<i4").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([ids.to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=["dims", "ids", "vectors"])
-
-        for b in batches:
-            for dims in set(b.column("dims").to_pylist()):
-                some = b.filter(pa.array(np.asarray(b.column("dims")) == dims))
-                held.setdefault(dims, []).append((some.column("vec_id"), some.column("v")))
-                if sum(len(x[0]) for x in held[dims]) >= ROWS:
-                    yield out(dims)
-        for dims in list(held):
-            if held[dims]:
-                yield out(dims)
-
-    schema = "dims int, ids binary, vectors binary"
-    index = materialise(rows.repartition(blocks).mapInArrow(block, schema).withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    groups = max(1, -(-queries.count() // QUERIES))
-    asked = materialise(queries.repartition(groups).mapInArrow(block, schema).select("dims", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "query-blocks")
-    # every block of queries meets every block of rows of its length, as the search asks
-    met = index.join(asked, "dims")
+    rows = taking_part(df, vec_id, embedding)
+    # a row for each different length
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"))
+    sizes = sizes.select("dims", F.ceil(F.col("rows") / ROWS).alias("blocks"), F.ceil(F.col("queries") / QUERIES).alias("groups"))
+    sizes = materialise(sizes, "vector-sizes")
+    lengths, blocks, groups = sizes.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("groups"), F.lit(0))).first()
+    sizes = sizes.withColumn("parts", F.greatest(F.lit(1), F.least("groups", F.ceil(F.lit(TASKS) / F.col("blocks")))).cast("long"))
+    known = rows.join(F.broadcast(sizes) if lengths <= FEW_LENGTHS else sizes, "dims")
+    number = F.monotonically_increasing_id()
+    index = _gathered(known.withColumn("block", F.pmod(number, "blocks")).select("dims", "block", "vec_id", "x"), "block", max(1, blocks))
+    asked = _gathered(known.where(F.col("vec_id") % every == 0).withColumn("group", F.pmod(number, "groups")).select("dims", "group", "vec_id", "x"), "group", max(1, groups))
+    index, asked = materialise(index, "vector-blocks"), materialise(asked, "query-blocks")
+    by_dims = F.broadcast(sizes) if lengths <= FEW_LENGTHS else sizes
+    index = index.join(by_dims, "dims").select("dims", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "ids", "vectors")
+    asked = asked.join(by_dims, "dims").select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod("group", "parts").alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    met = index.hint("merge").join(asked, ["dims", "block", "part"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, slices, ids = None, None, None
+        last, block = None, None
         for b in batches:
             for r in b.to_pylist():
-                dims = r["dims"]
-                if r["block"] != last:
+                if (r["dims"], r["block"]) != last:
                     ids = np.frombuffer(r["ids"], "<i8")
-                    slices, last = BitSlices(np.frombuffer(r["vectors"], "<i4").reshape(len(ids), dims).astype(np.int64)), r["block"]
-                asked_ids = np.frombuffer(r["query_ids"], "<i8")
+                    block, last = Block(ids, np.frombuffer(r["vectors"], "<f8").reshape(len(ids), r["dims"])), (r["dims"], r["block"])
+                query_ids = np.frombuffer(r["query_ids"], "<i8")
                 found: list[tuple] = []
-                for q, v in zip(asked_ids.tolist(), np.frombuffer(r["queries"], "<i4").reshape(len(asked_ids), dims).astype(np.int64), strict=True):
-                    at, score = slices.best(v, k, ids == q, ids)
-                    found.append((np.full(len(at), q), ids[at], score))
-                cols = [pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in range(3)]
+                for q, x in zip(query_ids.tolist(), np.frombuffer(r["queries"], "<f8").reshape(len(query_ids), r["dims"]), strict=True):
+                    best, score = block.best(q, x, k)
+                    found.append((np.full(len(best), q), best, score))
+                cols = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int64), pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block
-    partial = materialise(met.repartition(max(1, blocks * groups)).mapInArrow(look, "query_id bigint, vec_id bigint, score bigint"), "block-best")
-    bound_batches(spark)
+    partial = materialise(met.mapInArrow(look, "query_id bigint, vec_id bigint, score bigint"), "block-best")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return partial.select("query_id", best.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -101,6 +101,29 @@ def test_topk_is_exact(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_takes_every_finite_component(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.3, 4).tolist()) for i in range(120)]
+    rows += [(200, [3e6, 1.0, 0.0, -2.0]), (201, [-3e6, 0.5, 0.25, 0.0]), (202, [1e200, 0.0, 0.0, 1.0]), (300, [1e308, -1e308, 0.0, 0.0]), (301, [0.0, 5e-324, -5e-324, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df, every=20).select("query_id", "rank", "vec_id", "score").collect())
+    whole = {i: [int(np.floor(x * 1024)) if abs(x) < 1e300 else int(x) * 1024 for x in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
+    assert got == want
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 37)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8 if i % 3 else 5)]) for i in range(600)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, dims int")
+    assert sorted(tuple(r) for r in topk.search(df, every=20).select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 10, 20)
+
+
 def test_bit_slices():
     rng = np.random.default_rng(1)
     values = rng.integers(-700, 700, (333, 5))
@@ -108,7 +131,9 @@ def test_bit_slices():
     weights = rng.integers(-40, 40, 5)
     total = b.sums(weights)
     sums = b.coarse @ weights
-    assert (b.values_of(total) == sums).all()
+    assert (b.values_of(total, np.arange(333)) == sums).all()
+    for least in (int(sums.min()) - 1, -17, 0, 5, int(np.median(sums)), int(sums.max()), -(10**9), 10**9 % (1 << len(total) - 1)):
+        assert set(b.rows(b.at_least(total, least))) == set(np.flatnonzero(sums >= least))
     for k in (1, 10, 333, 500):
         kth = np.sort(sums)[::-1][min(k, 333) - 1]
         assert set(b.rows(b.at_least_kth(total, k))) == set(np.flatnonzero(sums >= kth))
