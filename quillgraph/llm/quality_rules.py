@@ -50,14 +50,12 @@ def _measure(column: pa.Array) -> dict[str, pa.Array]:
     offsets = pa.array(np.r_[0, np.cumsum(lines)], pa.int32())
     breaks = np.flatnonzero(w.data == 10)
     places = np.searchsorted(breaks, start) - np.searchsorted(breaks, w.offsets[doc])
-    digest = span_hashes(w.data, w.offsets[:-1], np.diff(w.offsets)) if len(w.data) else np.zeros(w.n_docs, np.uint64)
     values = {
         "n_words": w.counts,
         "word_chars": w.per_doc(~w.white & ((w.data & 0xC0) != 0x80)),
         "n_symbols": w.per_doc(SYMBOL[w.data]),
         "n_dup_lines": lines - different,
         "n_repeat_words": np.bincount(w.doc[covered[: len(raw)]], minlength=w.n_docs),
-        "text_key": digest.view(np.int64),
     }
     return {k: pa.array(v.astype(np.int64), pa.int64()) for k, v in values.items()} | {
         "line_keys": pa.ListArray.from_arrays(offsets, pa.array(mix(normal).view(np.int64))),
@@ -67,13 +65,13 @@ def _measure(column: pa.Array) -> dict[str, pa.Array]:
 
 
 def measure(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """df without its text, with the counts of COUNTS, a key of the text, and key and words of each line that has words.
+    """df without its text, with the counts of COUNTS, and key and words of each line that has words.
 
     With keep_text the text stays, and line_places has the number (from 0) of each such line among the \\n-split ones. Null and
     empty texts have zeros and no lines. Columns of df with a name of the new ones are replaced.
     """
     bound_batches(df.sparkSession)
-    new = {c: "bigint" for c in (*COUNTS, "text_key")} | {"line_keys": "array<bigint>", "line_words": "array<int>"} | ({"line_places": "array<int>"} if keep_text else {})
+    new = {c: "bigint" for c in COUNTS} | {"line_keys": "array<bigint>", "line_words": "array<int>"} | ({"line_places": "array<int>"} if keep_text else {})
     gone = [] if keep_text else [text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in {*gone, *new}] + [f"`{k}` {v}" for k, v in new.items()])
 
@@ -85,31 +83,29 @@ def measure(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def judge(df: DataFrame, host: str = "source", text: str = "text", min_docs: int = 20, min_share: float = 0.01, max_line_words: int = 30, keep_text: bool = False) -> DataFrame:
+def judge(df: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_docs: int = 20, min_share: float = 0.01, keep_text: bool = False) -> DataFrame:
     """df without its text, with COUNTS, n_removed_words, base_failed and kept; with keep_text also its text less the lines removed.
 
-    A line counts once for each different text of a host that holds it, after lower-casing A-Z and with single spaces
-    between its words. Lines of at most max_line_words words (longer ones are passages, which the operators for copies
-    treat) that more than max(min_docs, min_share * different texts of the host) texts hold are removed. A document fails
-    the base rules with fewer than 50 words or when over half its words stand in repeated 3-word windows; it is rejected
-    too if the lines removed held over half its words.
+    Lines are alike after lower-casing A-Z and with single spaces between their words. Lines that more than max(min_docs,
+    min_share * documents of the host) documents of a host hold are removed; documents are told apart by doc_id, null being
+    one. A document fails the base rules with fewer than 50 words or when over half its words stand in repeated 3-word windows;
+    it is rejected too if the lines removed held over half its words.
 
-    Rows with a null host form one host. Repeated rows get the same verdict. Columns of df with a name of the new ones are
-    replaced.
+    Null and empty texts have no words and fail. Rows with a null host form one host. Repeated rows get the same verdict.
+    Columns of df with a name of the new ones are replaced. An empty df gives no rows.
     """
-    extra = {*COUNTS, "text_key", "line_keys", "line_words", "line_places", "_row", "_host", "_gone", "n_removed_words", "base_failed", "kept"}
-    base = df.select(*[c for c in df.columns if c not in extra], F.xxhash64(F.col(host)).alias("_host"))
+    extra = {*COUNTS, "line_keys", "line_words", "line_places", "_row", "_host", "_doc", "_gone", "n_removed_words", "base_failed", "kept"}
+    base = df.select(*[c for c in df.columns if c not in extra], F.xxhash64(F.col(host)).alias("_host"), F.col(doc_id).alias("_doc"))
     measured = materialise(measure(base, text, keep_text).withColumn("_row", F.monotonically_increasing_id()), "quality")
     fields = {"line_keys": "key", "line_words": "words"} | ({"line_places": "place"} if keep_text else {})
-    lines = measured.select("_host", "text_key", "_row", F.explode(F.arrays_zip(*fields)).alias("l")).select("_host", "text_key", "_row", *[F.col(f"l.{k}").alias(v) for k, v in fields.items()])
-    lines = lines.where(F.col("words") <= max_line_words)
-    often = lines.select("_host", "key", "text_key").distinct().groupBy("_host", "key").agg(F.count("*").alias("texts")).where(F.col("texts") > min_docs)
-    hosts = measured.select("_host", "text_key").distinct().groupBy("_host").agg(F.count("*").alias("all_texts"))
-    often = materialise(often.join(hosts, "_host").where(F.col("texts") > min_share * F.col("all_texts")).select("_host", "key"), "frequent-lines")
+    lines = measured.select("_host", "_doc", "_row", F.explode(F.arrays_zip(*fields)).alias("l")).select("_host", "_doc", "_row", *[F.col(f"l.{k}").alias(v) for k, v in fields.items()])
+    often = lines.select("_host", "key", "_doc").distinct().groupBy("_host", "key").agg(F.count("*").alias("holders")).where(F.col("holders") > min_docs)
+    hosts = measured.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("documents"))
+    often = materialise(often.join(hosts, "_host").where(F.col("holders") > min_share * F.col("documents")).select("_host", "key"), "frequent-lines")
     totals = [F.sum("words").cast("long").alias("n_removed_words")] + ([F.collect_list("place").alias("_gone")] if keep_text else [])
     removed = lines.join(often, ["_host", "key"]).groupBy("_row").agg(*totals)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measured.drop("line_keys", "line_words", "line_places", "text_key", "_host").join(removed, "_row", "left").drop("_row")
+    out = measured.drop("line_keys", "line_words", "line_places", "_doc", "_host").join(removed, "_row", "left").drop("_row")
     if keep_text:
         left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
         out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).drop("_gone")
@@ -131,12 +127,12 @@ ln as materialized (select r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0
   array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') as norm
   from (select r, unnest(string_split(text, chr(10))) as line from d)),
 dl as (select r, count(*) - count(distinct line) as n_dup_lines from ln where words > 0 group by r),
-hosts as (select source, count(distinct text) as all_texts from d group by source),
+hosts as (select source, count(distinct coalesce(doc_id::varchar, '')) as documents from d group by source),
 often as (select d.source, norm from ln join d on d.r = ln.r join hosts h on h.source is not distinct from d.source
-  where words between 1 and 30 group by d.source, norm, h.all_texts
-  having count(distinct d.text) > 20 and count(distinct d.text) > 0.01 * h.all_texts),
+  where words > 0 group by d.source, norm, h.documents
+  having count(distinct coalesce(d.doc_id::varchar, '')) > 20 and count(distinct coalesce(d.doc_id::varchar, '')) > 0.01 * h.documents),
 gone as (select ln.r, sum(words) as removed from ln join d on d.r = ln.r join often o on o.source is not distinct from d.source and o.norm = ln.norm
-  where words between 1 and 30 group by ln.r),
+  where words > 0 group by ln.r),
 out as (select base.doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
   coalesce(removed, 0)::bigint as n_removed_words

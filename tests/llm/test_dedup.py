@@ -285,6 +285,17 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_counts_documents_and_lines_of_any_length(spark):
+    """A notice of 40 words on every document of a host is removed; of the copies of one document each counts."""
+    notice = " ".join(f"legal{k}" for k in range(40))
+    rows = [(i, notice + "\n" + " ".join(f"v{i}x{k}" for k in range(50)), "h1") for i in range(6)]
+    copy = " ".join(f"c{k}" for k in range(60))
+    rows += [(20 + i, copy, "h2") for i in range(6)] + [(20, copy, "h2"), (40, " ".join(f"u{k}" for k in range(60)), "h2"), (None, notice, "h1"), (41, notice + " x\n" + notice, "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality_rules.judge(df, min_docs=5, min_share=0.1).collect()}
+    assert got == {i: (40, True) for i in range(6)} | {20 + i: (60, False) for i in range(6)} | {40: (0, True), None: (40, False), 41: (40, False)}
+
+
 def test_quality_cuts_frequent_lines_out(spark):
     own = ["\n".join(" ".join(f"v{i}x{k}y{j}" for k in range(30)) for j in range(2)) for i in range(6)]
     rows = [(i, "All Rights  reserved\n\n" + t.replace("\n", "\nall rights RESERVED\n") + "\n", "h1") for i, t in enumerate(own)]
