@@ -12,23 +12,21 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches, replaced, text_slices
 
+#: A model holds so many numbers for each language.
 BUCKETS = 1 << 16
-#: A model holds BUCKETS numbers for each language; more languages than this are refused.
-MAX_LANGUAGES = 64
-LETTERS = np.zeros(256, np.uint8)
-for _b in range(256):
-    LETTERS[_b] = _b | 0x20 if chr(_b).isalpha() and _b < 128 else _b if _b >= 128 else 0x20
-#: Log likelihoods of overlapping trigrams are scaled by this; each further language costs PENALTY * log(words).
-TEMPER, PENALTY, FLOOR = 0.5, 3.0, 1e-4
+#: Log likelihoods of overlapping trigrams are scaled by TEMPER; each further language costs PENALTY * log(words). Proportions are
+#: climbed until none moves by TOLERANCE, ROUNDS times at most.
+TEMPER, PENALTY, FLOOR, TOLERANCE, ROUNDS = 0.5, 3.0, 1e-4, 1e-3, 60
 
 
 class Grams:
-    """Words (runs of letters) of a batch of texts and the hashed byte trigrams that stand around each of their bytes."""
+    """Words (runs of letters, in lower case) of a batch of texts and the hashed byte trigrams that stand around each of their bytes."""
 
     def __init__(self, column: pa.Array):
-        column = pc.fill_null(column, "").cast(pa.large_string())
+        column = pc.utf8_lower(pc.fill_null(column, ""))
+        column = pc.replace_substring_regex(column, r"[^\pL\pM]+", " ").cast(pa.large_string())
         n = len(column)
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
         body = column.buffers()[2]
         raw = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.empty(0, np.uint8)
         # each text gets a blank before it, so that no trigram crosses texts
@@ -36,9 +34,7 @@ class Grams:
         data = np.full(len(raw) + n + 1, 0x20, np.uint8)
         inside = np.ones(len(data), bool)
         inside[offsets] = False
-        data[inside] = LETTERS[raw]
-        upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
-        data[upper] += 0x20
+        data[inside] = raw
         letter = data != 0x20
         self.at = np.flatnonzero(letter)
         wide = data.astype(np.uint32)
@@ -67,46 +63,69 @@ class Model:
             out[:, k] = np.add.reduceat(row[g.grams], g.words, dtype=np.float64) if len(g.words) else 0
         return out * TEMPER
 
-    def mixtures(self, g: Grams, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions of each language in each text of g that has words, and the numbers of those texts."""
+    def mixtures(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions of each language in each text of g that has words, and the numbers of those texts.
+
+        Expectation-maximisation starts from all languages and, again and again, from those left when the one of the least
+        proportion goes. Of these sets and of each single language the one of the best penalised likelihood is taken; of
+        equally good ones the smaller set.
+        """
         docs, first = np.unique(g.doc_of_word, return_index=True)
         if not len(docs):
             return np.empty((0, len(self.languages))), docs
         sizes = np.diff(np.r_[first, len(g.words)])
-        own = np.repeat(np.arange(len(docs)), sizes)
         ll = self.word_likelihoods(g)
-        top = ll.max(axis=1, keepdims=True)
-        p = np.exp(ll - top)
+        ll -= ll.max(axis=1, keepdims=True)
+        p = np.exp(ll)
         k = p.shape[1]
-
-        def climb(pi: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(times):
-                r = p * pi[own]
-                total = r.sum(axis=1, keepdims=True)
-                pi = np.add.reduceat(r / np.maximum(total, 1e-300), first, axis=0) / sizes[:, None]
-            mix = np.maximum((p * pi[own]).sum(axis=1), 1e-300)
-            return pi, np.add.reduceat(np.log(mix), first)
-
-        full, gain = climb(np.full((len(docs), k), 1 / k), rounds)
-        order = np.argsort(-full, axis=1, kind="stable")
-        best, best_gain = full, gain - PENALTY * (k - 1) * np.log(sizes + 1)
-        for m in range(k - 1, 0, -1):
-            chosen = np.zeros_like(full, bool)
-            np.put_along_axis(chosen, order[:, :m], True, axis=1)
-            start = np.where(chosen, full + FLOOR, 0)
-            part, gain = climb(start / start.sum(axis=1, keepdims=True), 3 if m > 1 else 1)
-            gain -= PENALTY * (m - 1) * np.log(sizes + 1)
+        price = PENALTY * np.log(sizes + 1)
+        part, gain = climb(p, first, sizes, np.full((len(docs), k), 1 / k))
+        chosen, best, best_gain = np.ones(part.shape, bool), part, gain - price * (k - 1)
+        every = np.arange(len(docs))
+        for m in range(k - 1, 1, -1):
+            chosen[every, np.where(chosen, part, np.inf).argmin(axis=1)] = False
+            start = np.where(chosen, part + FLOOR, 0)
+            part, gain = climb(p, first, sizes, start / start.sum(axis=1, keepdims=True))
+            gain = gain - price * (m - 1)
             better = gain >= best_gain
             best, best_gain = np.where(better[:, None], part, best), np.where(better, gain, best_gain)
+        alone = np.add.reduceat(ll, first, axis=0)
+        one = alone.argmax(axis=1)
+        better = alone[every, one] >= best_gain
+        best = best.copy()
+        best[better] = 0
+        best[every[better], one[better]] = 1
         return best, docs
 
 
+def climb(p: np.ndarray, first: np.ndarray, sizes: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each text by expectation-maximisation from pi, and their log likelihood.
+
+    p: likelihoods of all words by language; words of a text stand together, from `first` on, `sizes` of them.
+    """
+    pi = pi.copy()
+    live, own_p, own_first = np.arange(len(first)), p, first
+    for _ in range(ROUNDS):
+        n = sizes[live]
+        r = own_p * np.repeat(pi[live], n, axis=0)
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+        new = np.add.reduceat(r, own_first, axis=0) / n[:, None]
+        moving = np.abs(new - pi[live]).max(axis=1) >= TOLERANCE
+        pi[live] = new
+        if not moving.any():
+            break
+        if 2 * n[moving].sum() < n.sum():  # go on with the texts that still move
+            own_p = own_p[np.repeat(moving, n)]
+            live = live[moving]
+            own_first = np.cumsum(sizes[live]) - sizes[live]
+    mix = np.maximum((p * np.repeat(pi, sizes, axis=0)).sum(axis=1), 1e-300)
+    return pi, np.add.reduceat(np.log(mix), first)
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """Trigram counts of every text with a language; None if there is no language."""
+    """Trigram counts of every text with a language, however many there are; None if there is no language."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    languages = sorted(r[0] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
     if not languages:
         return None
     bound_batches(df.sparkSession)

@@ -61,8 +61,9 @@ def pack(df: DataFrame, length: str = "n_tokens", doc_id: str = "doc_id", bucket
 
     A batch holds documents of one bucket, at most budget // bucket_length of them and one at least. batch numbers are
     unique over the result, not consecutive. Null lengths count as 0, and documents of length 0 are packed too. Within a
-    part of a bucket (PART documents or so, by a hash of doc_id) documents are taken in order of doc_id, then of length;
-    each part may end with a batch that is not full. Repeated rows each get a slot. An empty df gives no rows. Columns of df
+    part of a bucket (PART documents or so, by a hash of doc_id and of the row's place in df) documents are taken in order of
+    doc_id, then of length; each part may end with a batch that is not full. Repeated rows each get a slot, and rows of one
+    doc_id, null too, are dealt over the parts like others. df is best a written table, so that a row's place stays. An empty df gives no rows. Columns of df
     named like new ones are replaced.
     """
     spark = df.sparkSession
@@ -82,11 +83,10 @@ def pack(df: DataFrame, length: str = "n_tokens", doc_id: str = "doc_id", bucket
     which = F.lit(len(bounds) - 1)
     for i in range(len(bounds) - 2, -1, -1):
         which = F.when(n <= bounds[i], i).otherwise(which)
-    placed = df.withColumn("bucket", which.cast("int")).join(F.broadcast(table), "bucket")  # a row for each bucket
-    placed = placed.withColumn("_part", F.pmod(F.xxhash64(F.col(doc_id)), F.col("parts")).cast("int"))
+    placed = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("bucket", which.cast("int")).join(F.broadcast(table), "bucket")  # a row for each bucket
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64(F.col(doc_id), "_at"), F.col("parts")).cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket", "_part").orderBy(doc_id, n)) - 1
     placed = placed.withColumn("_place", place)
     number = F.floor(F.col("_place") / F.col("room"))
     batch = (F.col("bucket").cast("long") * (1 << 32) + F.col("_part")) * (1 << 20) + number
-    columns = [c for c in df.columns]
-    return placed.select(*columns, "bucket", "bucket_length", batch.alias("batch"), (F.col("_place") % F.col("room")).cast("int").alias("slot"))
+    return placed.select(*df.columns, "bucket", "bucket_length", batch.alias("batch"), (F.col("_place") % F.col("room")).cast("int").alias("slot"))

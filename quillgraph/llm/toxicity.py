@@ -53,7 +53,7 @@ _LEET = re.escape("".join(STANDS_FOR))
 _SEP = re.escape(SEPARATORS)
 #: Single characters with separators between; a letter with signs inside; a run of letters and signs with one of each; three equal letters.
 SPACED = rf"(?<![\w{_LEET}])(?:[^\W_][{_SEP}]{{1,2}}|[{_LEET}][{_SEP}]){{3,}}[^\W_](?![\w])"
-MASKED = rf"[{_LEET}]{{0,2}}[^\W\d_]*(?:(?<=[^\W\d_])[{_LEET}.\-_]{{1,3}}|(?<![^\s])[{_LEET}]{{1,2}})(?=[^\W\d_])[^\W_]+(?:[{_LEET}]{{1,3}}[^\W_]+)*[{_LEET}]*"
+MASKED = rf"[{_LEET}]*[^\W\d_]*(?:(?<=[^\W\d_])[{_LEET}.\-_]+|(?<![^\s])[{_LEET}]+)(?=[^\W\d_])[^\W_]+(?:[{_LEET}]+[^\W_]+)*[{_LEET}]*"
 MIXED = rf"(?<![^\W_])(?<![{_LEET}])(?=[{_LEET}]*[^\W\d_])(?=[^\W\d_]*[{_LEET}])(?:[^\W_]|[{_LEET}])+"
 LONG = r"[^\W_]*([^\W\d_])\1\1[^\W_]*"
 SUSPICIOUS = re.compile(f"{SPACED}|{MASKED}|{MIXED}|{LONG}")
@@ -63,12 +63,23 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37 if c.isalpha() else 0
 
 
-_TABLE = np.zeros(0x3000, np.uint8)
-for _i in range(0x3000):
+#: Symbols of the characters below _PLANES; from there on up to _IDEOGRAPHS all are letters.
+_PLANES, _IDEOGRAPHS = 0x20000, 0x323B0
+_TABLE = np.zeros(_PLANES, np.uint8)
+for _i in range(_PLANES):
     _c = chr(_i).lower()
     _TABLE[_i] = symbol(_c[0]) if _c else 0
 
 
+def symbols(code: np.ndarray) -> np.ndarray:
+    """The symbol of each code point."""
+    s = _TABLE[np.minimum(code, _PLANES - 1)]
+    far = np.flatnonzero(code >= _PLANES)
+    if len(far):
+        s[far] = np.where(code[far] < _IDEOGRAPHS, 27 + code[far] % 37, 0)
+    return s
+
+
 _SIGN, _PART, _GAP = (np.array([chr(i) in x for i in range(0x3000)]) for x in (STANDS_FOR, [*STANDS_FOR, ".", "-", "_"], SEPARATORS))
 
 
@@ -80,7 +91,7 @@ def _flagged(texts: list[str]) -> dict[int, list[int]]:
     if n <= 0:
         return {}
     known = np.minimum(code, 0x2FFF)
-    letter = (_TABLE[known] > 0) & (code < 0x3000) | (code >= 0x3000)
+    letter = symbols(code) > 0
     sign, part, gap = _SIGN[known], _PART[known], _GAP[known]
     mark = letter | ((code >= 48) & (code <= 57))
     single = mark | sign
@@ -88,9 +99,12 @@ def _flagged(texts: list[str]) -> dict[int, list[int]]:
     at = [slice(k, n + k) for k in range(5)]
     before = np.r_[True, white[: n - 1]]
     hit = letter[at[0]] & (code[at[0]] == code[at[1]]) & (code[at[1]] == code[at[2]])
-    hit |= letter[at[0]] & part[at[1]] & (mark[at[2]] | part[at[2]] & (mark[at[3]] | part[at[3]] & mark[at[4]]))
+    # a letter, a run of parts of any length, then a letter or digit
+    place = np.arange(len(code))
+    after = np.minimum.accumulate(np.where(part, len(code) - 1, place)[::-1])[::-1]
+    hit |= letter[at[0]] & part[at[1]] & mark[after[at[1]]]
     hit |= letter[at[0]] & sign[at[1]] | sign[at[0]] & letter[at[1]]
-    hit |= before & sign[at[0]] & (letter[at[1]] | sign[at[1]] & letter[at[2]])
+    hit |= before & sign[at[0]] & letter[after[at[0]]]
     hit |= np.r_[True, ~mark[: n - 1]] & single[at[0]] & gap[at[1]] & single[at[2]] & gap[at[3]] & single[at[4]]
     hit |= np.r_[True, ~mark[: n - 1]] & single[at[0]] & gap[at[1]] & gap[at[2]] & single[at[3]] & gap[at[4]]
     places = np.flatnonzero(hit)
@@ -111,7 +125,7 @@ def trigram_counts(texts: list[str | None]) -> np.ndarray:
     """Counts of symbol trigrams, as SYMBOLS**3 cells; texts are set apart by word ends."""
     joined = "  ".join(["", *(t for t in texts if t), ""])
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(code < len(_TABLE), _TABLE[np.minimum(code, len(_TABLE) - 1)], 0).astype(np.int64)
+    s = symbols(code).astype(np.int64)
     if len(s) < 3:
         return np.zeros(SYMBOLS**3, np.int64)
     return np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -128,13 +142,12 @@ class CharacterModel:
         self.cost = -np.log((c + 5 * low[None]) / (total + 5)).astype(np.float32)
         self.cost = self.cost.reshape(-1).tolist()
 
-    def restore(self, span: str, beam: int = 48) -> str:
-        """The cheapest reading of a suspicious span: Viterbi over a lattice of readings, with two symbols of history."""
-        s = span.lower()
+    @staticmethod
+    def options(s: str) -> list[list[tuple[str, float]]]:
+        """The lattice of a span in lower case: for each character or run of a letter its readings and their costs."""
         last = len(s.rstrip("".join(STANDS_FOR)))
         spaced = sum(c in SEPARATORS for c in s) * 2 >= len(s) - 1
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        i = 0
+        out, i = [], 0
         while i < len(s):
             c, run = s[i], 1
             while c.isalpha() and i + run < len(s) and s[i + run] == c:
@@ -157,22 +170,37 @@ class CharacterModel:
                     options += [("", OMIT), (" ", OMIT)]
                 else:
                     options.append((" ", 0.0))
+            out.append(options)
+            i += run
+        return out
+
+    def read(self, a: int, b: int, letters: str) -> tuple[float, int, int]:
+        """The cost of reading letters after the symbols a and b, and the last two symbols then."""
+        cost = 0.0
+        for ch in letters:
+            z = symbol(ch)
+            if ch in STANDS_FOR and not b:
+                continue  # one end of a word, however many signs follow
+            cost += self.cost[(a * SYMBOLS + b) * SYMBOLS + z]
+            a, b = b, z
+        return cost, a, b
+
+    def end(self, a: int, b: int) -> float:
+        return self.cost[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0
+
+    def restore(self, span: str) -> str:
+        """The cheapest reading of a suspicious span: Viterbi over its lattice, the states being the last two symbols."""
+        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        for options in self.options(span.lower()):
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, out) in states.items():
                 for letters, extra in options:
-                    x, y, k = a, b, cost + extra
-                    for ch in letters:
-                        z = symbol(ch)
-                        if ch in STANDS_FOR and not y:
-                            continue  # one end of a word, however many signs follow
-                        k += self.cost[(x * SYMBOLS + y) * SYMBOLS + z]
-                        x, y = y, z
+                    more, x, y = self.read(a, b, letters)
+                    k = cost + extra + more
                     if (x, y) not in step or k < step[x, y][0]:
                         step[x, y] = (k, out + letters)
-            states = step if len(step) <= beam else dict(sorted(step.items(), key=lambda e: e[1][0])[:beam])
-            i += run
-        end = min((cost + (self.cost[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), out) for (a, b), (cost, out) in states.items())
-        return end[1]
+            states = step
+        return min((cost + self.end(a, b), out) for (a, b), (cost, out) in states.items())[1]
 
 
 class Restorer:
@@ -233,14 +261,26 @@ class Evidence:
     """
 
     def __init__(self, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, base: float, n_toxic: int = 1, strong: float = 0.7):
-        z = max(1.2, 0.55 * np.log(max(1, n_toxic)) - 0.75)
-        n = toxic + clean
-        p = toxic / n
-        low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        low = self.bound(toxic, clean, n_toxic)
         use = low > max(base, strong)
         order = np.argsort(keys[use])
         self.keys, self.low, self.base = keys[use][order], low[use][order], base
 
+    @staticmethod
+    def bound(toxic: np.ndarray, clean: np.ndarray, n_toxic: int) -> np.ndarray:
+        z = max(1.2, 0.55 * np.log(max(1, n_toxic)) - 0.75)
+        n = toxic + clean
+        p = toxic / n
+        return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    @classmethod
+    def fewest(cls, n_toxic: int, strong: float = 0.7) -> int:
+        """Toxic texts that must hold a feature for it to count, even if no clean one does."""
+        t = 1
+        while cls.bound(np.array([float(t)]), np.zeros(1), n_toxic)[0] <= strong:
+            t += 1
+        return t
+
     def score(self, texts: list[str]) -> np.ndarray:
         """1 less the product of (1 - evidence) of each text's different words, of each its strongest feature's; `base` where there is none."""
         doubt = np.ones(len(texts))
@@ -309,7 +349,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str, text: str, characters: Ch
                 yield pa.RecordBatch.from_arrays([pa.array(all_keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
         out = rows.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        return (out.where(F.col("n") >= least) if wanted is None else out).toArrow()
+        # of the toxic texts only features that can count come to the driver
+        return (out.where(F.col("n") >= max(least, Evidence.fewest(sizes.get(True, 0)))) if wanted is None else out).toArrow()
 
     sizes = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     base = min(0.5, (sizes.get(True, 0) + 0.5) / (sum(sizes.values()) + 1) / 2)

@@ -31,6 +31,53 @@ def test_languages(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_sets_are_those_of_all_sets(spark):
+    """Against brute force: of all sets of languages, climbed by plain loops, none has a better penalised likelihood."""
+    from itertools import combinations
+    from math import exp, log
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    learn = [(text(rng, lang, 40), lang) for lang in SYLLABLES for _ in range(30)]
+    counts = np.zeros((3, language_id.BUCKETS))
+    for t, lang in learn:
+        np.add.at(counts[sorted(SYLLABLES).index(lang)], language_id.Grams(pa.array([t])).grams, 1)
+    model = language_id.Model(sorted(SYLLABLES), counts)
+    texts = [text(rng, "aa", 30), text(rng, "bb", 9) + " " + text(rng, "aa", 21), text(rng, "cc", 2), " ".join(text(rng, x, 25) for x in SYLLABLES), text(rng, "cc", 80) + " " + text(rng, "aa", 2)]
+    got, docs = model.mixtures(language_id.Grams(pa.array([*texts, None, "..."])))
+    assert docs.tolist() == list(range(len(texts)))
+
+    def likelihood(p, pi):
+        return sum(log(max(1e-300, sum(x * q for x, q in zip(w, pi, strict=True)))) for w in p)
+
+    for row, t in zip(got, texts, strict=True):
+        ll = model.word_likelihoods(language_id.Grams(pa.array([t])))
+        p = [[exp(x - max(w)) for x in w] for w in ll.tolist()]
+        best = -1e300
+        for m in (1, 2, 3):
+            for some in combinations(range(3), m):
+                pi = [1 / m if k in some else 0.0 for k in range(3)]
+                for _ in range(300):
+                    r = [[x * q / sum(a * b for a, b in zip(w, pi, strict=True)) for x, q in zip(w, pi, strict=True)] for w in p] if m > 1 else [pi] * len(p)
+                    pi = [sum(c) / len(p) for c in zip(*r, strict=True)]
+                best = max(best, likelihood(p, pi) - language_id.PENALTY * (m - 1) * log(len(p) + 1))
+        used = int((row > 0).sum())
+        assert abs(row.sum() - 1) < 1e-9
+        assert likelihood(p, row.tolist()) - language_id.PENALTY * (used - 1) * log(len(p) + 1) >= best - 0.02
+    assert [int((row > 0).sum()) for row in got[:2]] == [1, 2]
+
+
+def test_languages_beyond_64_and_other_scripts(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {f"l{k:02}": rng.sample([a + b for a in letters for b in letters], 4) for k in range(70)} | {"zh": ["の", "漢", "字", "語"], "ru": ["да", "нет", "Что", "Это"]}
+    make = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(alphabets[lang], 40), lang) for i, lang in enumerate(list(alphabets) * 4)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
 def test_obfuscations_are_undone():
     plain = ["you are an idiot and a loser", "what a worthless moron he is", "stupid clown and scum", "that is disgusting trash", "the other of them is there"] * 30
     restore = toxicity.Restorer(toxicity.CharacterModel(toxicity.trigram_counts(plain)))
@@ -49,6 +96,33 @@ def test_signs_at_the_end_and_in_long_runs_are_undone():
         assert restore([given]) == [want], given
 
 
+def test_readings_are_the_cheapest_of_all():
+    """Against brute force: of all readings of a span's lattice none is cheaper."""
+    from itertools import product
+
+    plain = ["you are an idiot and a loser", "what a worthless moron he is", "stupid clown and scum", "漢字 の 語"] * 30
+    model = toxicity.CharacterModel(toxicity.trigram_counts(plain))
+
+    def cost(lattice, reading):
+        a = b = 0
+        total = 0.0
+        for letters, extra in reading:
+            more, a, b = model.read(a, b, letters)
+            total += extra + more
+        return total + model.end(a, b)
+
+    for span in ("1d10t", "i.d.i.o.t", "st*p1d", "m0r0n!", "a$$", "cl###wn", "w0rthl3", "idiooot", "s-c..m", "漢*語"):
+        lattice = model.options(span)
+        cheapest = min(cost(lattice, r) for r in product(*lattice))
+        assert any(abs(cost(lattice, r) - cheapest) < 1e-6 for r in product(*lattice) if "".join(x for x, _ in r) == model.restore(span)), span
+
+
+def test_long_runs_and_other_scripts_are_suspicious():
+    found = lambda t: bool(toxicity.SUSPICIOUS.search(t)) and bool(toxicity._flagged([t]))
+    assert all(map(found, ["id$$$$$$iot", "lo----ser", "m......oron", "####moron", "漢*語", "a55"]))
+    assert not any(toxicity._flagged([t]) for t in ["plain words, here.", "12 + 30 = 42", "漢字"])
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     marks = ["idiot", "moron", "worthless"]
