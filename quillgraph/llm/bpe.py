@@ -16,6 +16,7 @@ compatible is what exact merging yields.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable
@@ -364,7 +365,8 @@ def split_bytes(data: np.ndarray, doc_starts: np.ndarray, suffixed: bool) -> tup
 class WordMemo:
     """Ids of words already encoded in this process, as ragged arrays; emptied when it holds `limit` words.
 
-    A word is found by a hash and then compared: its first 16 bytes as two numbers, and any further bytes one by one.
+    A word is found by a hash and then compared: its first 16 bytes as two numbers, and any further bytes one by one. encode
+    takes bytes, starts and lengths of words and returns their ids, one after the other, and the number of ids of each.
     """
 
     def __init__(self, vocabulary: Vocabulary, encode: Callable, limit: int = 600_000):
@@ -407,10 +409,7 @@ class WordMemo:
         return rows
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        symbols = data[gather(starts, lengths)].astype(np.int32)
-        if self.v.suffix:
-            symbols[np.cumsum(lengths) - 1] += 256
-        return self._add(data, starts, lengths, *self.encode(self.v.base[symbols], lengths))
+        return self._add(data, starts, lengths, *self.encode(data, starts, lengths))
 
     def _others(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Numbers of the words that are not the ones of their rows."""
@@ -494,10 +493,40 @@ class WordMemo:
 _memos: dict[tuple, WordMemo] = {}
 
 
+def by_symbols(v: Vocabulary, method: Callable) -> Callable:
+    """An encoder of words from one of ragged base symbols."""
+
+    def encode(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        symbols = data[gather(starts, lengths)].astype(np.int32)
+        if v.suffix:
+            symbols[np.cumsum(lengths) - 1] += 256
+        return method(v.base[symbols], lengths)
+
+    return encode
+
+
+def by_library(path: str) -> Callable:
+    """An encoder of words by the tokenizers library."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+
+    def encode(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        words = [raw[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        ids = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    return encode
+
+
 def memo(path: str, method: str) -> WordMemo:
-    """This process's memo for a tokenizer file; method: "speculate" or "merge_synchronously"."""
+    """This process's memo for a tokenizer file; method: "speculate", "merge_synchronously" or "library"."""
     key = (path, method)
     if key not in _memos:
         v = Vocabulary(path)
-        _memos[key] = WordMemo(v, getattr(v, method))
+        _memos[key] = WordMemo(v, by_library(path) if method == "library" else by_symbols(v, getattr(v, method)))
     return _memos[key]

@@ -1,6 +1,6 @@
 """Files of token ids, coded by the adaptive range coder in independent, checksummed blocks.
 
-A file is a row of segments, each followed by one newline byte. A segment, little-endian:
+A file is a segment (a row of segments can be read too), followed by one newline byte. A segment, little-endian:
 
     magic b"QGTF", version u32, bytes of the whole segment u64, documents u64, ids u64, blocks u32, bits of an id u32
     documents: doc_id i64 each, then a byte each that is 1 for a null id, then ids u32 each
@@ -89,14 +89,17 @@ def unpack(content: bytes, name: str = "") -> Iterator[tuple[list[int | None], n
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Tokenize df's whole texts (null: empty), append end_id to each, and write files at path in ascending doc_id order.
 
-    Files follow each other by name; null doc_ids come first, rows of one doc_id are ordered by a hash of the text.
+    The library encodes each different word once; words are what the tokenizer file splits texts into. A file holds one
+    segment of some SEGMENT ids (a longer text is in one segment); files follow each other by the two numbers in their names. Null
+    doc_ids come first, rows of one doc_id are ordered by a hash of the text; repeated rows are written each. An empty df
+    makes no segment; columns other than the two play no part.
     """
     bound_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = memo(tokenizer, "merge_synchronously")
+        m = memo(tokenizer, "library")
         end = [] if end_id is None else [end_id]
         held: tuple[list, list, list] = ([], [], [])
 
@@ -122,15 +125,15 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, d
         if held[0]:
             yield segment()
 
-    rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(path)
+    rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, file, place (ids of the file's documents before it), and ids array<int> of every document in the files at path.
 
-    digest: instead of the ids, n_tokens long and ids_crc32 long. Damaged files raise DamagedFile.
+    Files without a segment have no documents. digest: instead of the ids, n_tokens long and ids_crc32 long. Damaged files raise DamagedFile.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
+    bound_batches(spark)  # a row is a file; batches are cut by bytes
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +160,9 @@ def round_trip(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     path = scratch_path(df.sparkSession, "token-files")
     write(df, path, tokenizer, end_id)
     docs = materialise(read(df.sparkSession, path, digest=True), "token-digests")
-    bound_batches(df.sparkSession)
     # a row for each file
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    number = [F.regexp_extract("file", p, 1).cast("long") for p in (r"/part-(\d+)-[^/]*$", r"-c(\d+)[^/]*$")]
+    before = F.sum("total").over(Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1))
     starts = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     return docs.join(starts, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -22,7 +22,7 @@ def library(name):
     return tokenizers.Tokenizer.from_file(tokenizer_path(name))
 
 
-@pytest.mark.parametrize(("name", "method"), [(WORD, "speculate"), (BYTE, "merge_synchronously"), (BYTE, "speculate"), (WORD, "merge_synchronously")])
+@pytest.mark.parametrize(("name", "method"), [(WORD, "speculate"), (BYTE, "merge_synchronously"), (BYTE, "speculate"), (WORD, "merge_synchronously"), (BYTE, "library"), (WORD, "library")])
 def test_ids_are_the_librarys(name, method):
     ids, counts = memo(tokenizer_path(name), method).text_ids(TEXTS)
     ends = np.cumsum(counts)
@@ -33,7 +33,7 @@ def test_ids_are_the_librarys(name, method):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(" \n'stmdrvel<|>")), max_size=40), max_size=4))
 def test_any_text(texts):
-    for name, method in ((WORD, "speculate"), (BYTE, "merge_synchronously")):
+    for name, method in ((WORD, "speculate"), (BYTE, "merge_synchronously"), (BYTE, "library")):
         ids, counts = memo(tokenizer_path(name), method).text_ids(texts)
         want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)] if texts else []
         assert ids.tolist() == [x for w in want for x in w]
@@ -161,7 +161,7 @@ def test_words_that_share_a_hash(monkeypatch):
     monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, lengths: (np.asarray(lengths, np.uint64) % np.uint64(3)) << np.uint64(60))
     for name, method in ((WORD, "speculate"), (BYTE, "merge_synchronously")):
         v = Vocabulary(tokenizer_path(name))
-        m = bpe.WordMemo(v, getattr(v, method))
+        m = bpe.WordMemo(v, bpe.by_symbols(v, getattr(v, method)))
         texts = [*TEXTS, "x" * 40 + "y", "x" * 40 + "z", "x" * 40 + "y"]
         for _ in range(2):
             ids, counts = m.text_ids(texts)
