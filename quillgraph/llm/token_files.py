@@ -86,10 +86,10 @@ def unpack(content: bytes, name: str = "") -> Iterator[tuple[list[int | None], n
         at += length + 1
 
 
-def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
+def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", method: str = "merge_synchronously") -> None:
     """Tokenize df's whole texts (null: empty), append end_id to each, and write files at path in ascending doc_id order.
 
-    The library encodes each different word once; words are what the tokenizer file splits texts into. A file holds one
+    Each word that is not remembered is encoded by the method (see bpe.memo; "library" gives the same ids in more time). A file holds one
     segment of some SEGMENT ids (a longer text is in one segment); files follow each other by the two numbers in their names. Null
     doc_ids come first, rows of one doc_id are ordered by a hash of the text; repeated rows are written each. An empty df
     makes no segment; columns other than the two play no part.
@@ -99,7 +99,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, d
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = memo(tokenizer, "library")
+        m = memo(tokenizer, method)
         end = [] if end_id is None else [end_id]
         held: tuple[list, list, list] = ([], [], [])
 
