@@ -78,3 +78,18 @@ def exclusive_quantiles(df: DataFrame, x: str, key: str, parts: list[int], of: i
     near = spread.withColumn("_k", low).withColumn("_d", place - low * of)
     weight = F.when(F.col("n") < 2, 1.0).when(F.col("_r") == F.col("_k"), (of - F.col("_d")) / of).when(F.col("_r") == F.col("_k") + 1, F.col("_d") / of)
     return near.where((F.col("n") < 2) | F.col("_r").isin(F.col("_k"), F.col("_k") + 1)).groupBy(key, "part", "n").agg(F.round(F.sum(F.col("_x") * weight), 6).alias("x"))
+
+
+def phrase_uses(text: Column, phrases: list[str]) -> Column:
+    """How often phrases of whole words occur in the text, in any case, each counted by itself ("would appear" has "appear" too)."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    uses = F.lit(0)
+    for p in phrases:
+        wanted = f" {'  '.join(p.lower().split())} "
+        uses = uses + ((F.length(spaced) - F.length(F.replace(spaced, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+    return uses
+
+
+def per_hundred(hits: Column, words: Column) -> Column:
+    return F.when(words > 0, F.round(100 * hits / words, 2)).otherwise(F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.cues import SUPERLATIVES, UNIVERSALS
@@ -70,12 +70,23 @@ def passages(found: DataFrame, rhythms: DataFrame, doc: str, paragraph: str) ->
     return both.withColumn("standing", standing(F.col("content"), F.col("texture"), F.col("_fix"))).drop("_fix")
 
 
-def deviations(profiles: DataFrame, doc: str, measures: list[str]) -> DataFrame:
-    """doc, section, measure, value, whole and spread of section profiles more than two spreads from the document's mean.
+def deviations(profiles: DataFrame, whole: DataFrame, doc: str, measures: list[str], kinds: list[str]) -> DataFrame:
+    """doc, section, signal, here and there (text): how a section's voice departs from its document's.
 
-    profiles: (doc, section, *measures); documents with fewer than three sections give none.
+    profiles: (doc, section, *measures, *kinds) of sections, whole: (doc, *measures, *kinds) of documents. A measure departs by
+    more than DEVIATION_SPREADS spreads of the document's own sections from the document's value; a kind if it is another one,
+    neither is unknown, and the section's is not mixed. Documents of fewer than DEVIATION_SECTIONS sections give none.
     """
-    long = profiles.unpivot([doc, "section"], measures, "measure", "value")
-    whole = long.groupBy(doc, "measure").agg(F.avg("value").alias("whole"), F.stddev_pop("value").alias("spread"), F.count("*").alias("_n"))
-    far = F.abs(F.col("value") - F.col("whole")) > DEVIATION_SPREADS * F.col("spread")
-    return long.join(whole.where(F.col("_n") >= DEVIATION_SECTIONS), [doc, "measure"]).where(far & (F.col("spread") > 0)).drop("_n")
+    many = Window.partitionBy(doc)
+    judged = profiles.withColumns({"_n": F.count("*").over(many), **{f"_s{m}": F.stddev_pop(m).over(many) for m in measures}}).where(F.col("_n") >= DEVIATION_SECTIONS)
+    there = whole.select(doc, *[F.col(c).alias(f"_w{c}") for c in (*measures, *kinds)])
+    met = judged.join(there, doc)
+    found = []
+    for m in measures:
+        far = (F.col(f"_s{m}") > 0) & (F.abs(F.col(m) - F.col(f"_w{m}")) > DEVIATION_SPREADS * F.col(f"_s{m}"))
+        found.append(F.when(far, F.struct(F.lit(f"voice_{m}").alias("signal"), F.round(m, 4).cast("string").alias("here"), F.round(f"_w{m}", 4).cast("string").alias("there"))))
+    for k in kinds:
+        other = (F.col(k) != F.col(f"_w{k}")) & (F.col(k) != "unknown") & (F.col(f"_w{k}") != "unknown") & (F.col(k) != "mixed")
+        found.append(F.when(other, F.struct(F.lit(f"voice_{k}").alias("signal"), F.col(k).alias("here"), F.col(f"_w{k}").alias("there"))))
+    rows = met.select(doc, "section", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f"))
+    return rows.select(doc, "section", "f.*")

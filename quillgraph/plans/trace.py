@@ -35,22 +35,11 @@ def passage_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("standing", "causes").agg(F.count("*").alias("n"))
 
 
-def section_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose paragraph lengths are far from their language's."""
-    rows = paragraphs(table(spark, sf_dir, "documents"), "lang", "source").withColumn("n", words(F.col("para")))
-    profiles = rows.groupBy("lang", F.col("source").alias("section")).agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").cast("double").alias("longest"))
-    return op.deviations(profiles, "lang", ["mean", "longest"]).select("lang", "section", "measure", F.round("value", 4).alias("value"))
-
-
-QUERIES: dict[str, Query] = {f.__name__: f for f in (uniform_paragraphs, ungrounded_assertions, passage_standings, section_deviations)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (uniform_paragraphs, ungrounded_assertions, passage_standings)}
 _S = rf"""(select doc_id, pos, len(regexp_extract_all(s, '\S+')) as words from (select doc_id, pos, unnest(regexp_split_to_array(para, '[.!?]\s+')) as s from {paragraphs_sql("doc_id")}))"""
 SQL = {
     "uniform_paragraphs": f"""with s as (select * from {_S} where words > 0), b as (select doc_id, case when count(*) >= 10 then stddev_pop(words) end as base from s group by 1),
       p as (select doc_id, pos, count(*) as n, stddev_pop(words) as spread from s group by all) select doc_id, pos::int as pos, n from p join b using (doc_id) where n >= 4 and spread < 0.5 * base""",
     "ungrounded_assertions": f"""select lang, count(*) as n from {paragraphs_sql("lang")} where len(list_filter(regexp_extract_all(lower(para), '[a-z][a-z0-9''-]*'), lambda w: w in ({sql_list(list(op.assertive()))}))) > 0
       and not contains(para, '[') and not regexp_matches(para, '[0-9]') group by lang""",
-    "section_deviations": rf"""with p as (select lang, source as section, round(avg(n), 6) as mean, max(n)::double as longest from (select lang, source, len(regexp_extract_all(para, '\S+')) as n from {paragraphs_sql("lang, source")}) group by all),
-      l as (select lang, section, 'mean' as measure, mean as value from p union all select lang, section, 'longest', longest from p),
-      w as (select lang, measure, avg(value) as whole, stddev_pop(value) as spread from l group by all having count(*) >= 3)
-      select lang, section, measure, round(value, 4) as value from l join w using (lang, measure) where spread > 0 and abs(value - whole) > 2 * spread""",
 }

@@ -244,11 +244,36 @@ def test_scholarly_sources(spark):
     assert (d.title, d.year, d.arxiv_id, d.open_access_url) == ("D d", 2021, "2101.00002", "u")
 
 
-def test_works():
-    rows = [{"title": "A Title", "authors": ["J Smith"], "sources": ["a"], "year": 2021}, {"title": "A title!", "authors": ["Smith, J"], "doi": "10.1/x", "sources": ["b"], "year": 2019, "citation_count": 4}, {"title": "Other", "doi": "10.1/x", "sources": ["c"], "retracted": True}, {"title": "Else", "sources": ["d"]}]
-    out = works.deduplicate(rows)
-    assert [w["title"] for w in out] == ["A title!", "Else"]
-    assert (out[0]["doi"], out[0]["year"], out[0]["citation_count"], out[0]["retracted"], out[0]["sources"]) == ("10.1/x", 2019, 4, True, ["a", "b", "c"])
+def test_works(spark):
+    schema = works.SCHEMA + ", ord int"
+    names = [p.split()[0] for p in schema.split(", ")]
+    make = lambda q, n, **k: tuple({"query_id": q, "ord": n, "citation_count": None, **k}.get(c) for c in names)
+    rows = [
+        make("q", 1, title="A Title", authors=["J Smith"], sources=["a"], year=2021, identifiers={"x": "1"}), make("q", 2, title="A title!", authors=["Smith, J"], doi="10.1/x", sources=["b"], year=2019, citation_count=4, identifiers={"x": "2", "y": "3"}),
+        make("q", 3, title="Other", doi="10.1/x", sources=["c"], retracted=True, venue="V"), make("q", 4, title="Else", sources=["d"]), make("p", 1, title="A Title", authors=["J Smith"], sources=["a"]), make(None, 1), make(None, 2),
+    ]
+    out = works.deduplicated(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((str(r.query_id), str(r.title)) for r in out) == [("None", "None"), ("None", "None"), ("p", "A Title"), ("q", "A title!"), ("q", "Else")]
+    one = next(r for r in out if r.title == "A title!")
+    assert (one.doi, one.year, one.citation_count, one.retracted, one.sources, one.venue, one.identifiers) == ("10.1/x", 2019, 4, True, ["a", "b", "c"], "V", {"x": "1", "y": "3"})
+    assert works.deduplicated(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_resolved(spark):
+    entries = spark.createDataFrame(
+        [("a", "Ranking under budgets", ["smith"], 2020, "10.1/a", None), ("b", "Ranking under budgets", ["smith"], 2020, None, None), ("c", "Ranking under budgets", ["lee"], 2020, None, None), ("d", None, None, None, None, None), ("e", "Alone", [], None, "10.9/none", None)]
+        + [("f", "Ranking under budgets", ["smith"], 2019, None, None), ("g", "Ranking under budgets", ["smith"], 2020, None, None), ("h", "Ranking under budgets", ["smith"], 2020, None, None)],
+        "key string, title string, surnames array<string>, year int, doi string, arxiv_id string",
+    )
+    good = ("Ranking under budgets", ["smith", "lee"], 2020, "10.1/a", None, False)
+    found = spark.createDataFrame(
+        [("a", 1, "Another work", ["x"], 2020, "10.7/z", None, False), ("a", 2, *good), ("b", 1, "Ranking under budget limits", ["smith"], 2020, "10.1/c", None, False), ("b", 2, *good), ("c", 1, "Machine learning under budget constraints", ["kim"], 2020, "10.1/d", None, False), ("e", 1, "Alone", [], None, "10.8/other", None, False)]
+        + [("f", 1, *good), ("g", 1, *good[:5], True), ("h", 1, *good[:3], None, "2101.00001", False)],
+        "key string, ord int, title string, surnames array<string>, year int, doi string, arxiv_id string, retracted boolean",
+    )
+    got = {r.key: (r.verdict, r.work_title) for r in works.resolved(entries, found).collect()}
+    fine = "Ranking under budgets"
+    assert got == {"a": ("VERIFIED", fine), "b": ("VERIFIED", fine), "c": ("NOT_FOUND", None), "d": ("UNPARSEABLE", None), "e": ("NOT_FOUND", None), "f": ("YEAR_MISMATCH", fine), "g": ("RETRACTED", fine), "h": ("PREPRINT_ONLY", fine)}
 
 
 def test_cache_keys_and_pages(spark):
