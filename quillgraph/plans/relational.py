@@ -33,8 +33,8 @@ def regional_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idle_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order, by segment."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Customers without an order of 1997 or later, by segment."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"))
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -46,5 +46,5 @@ SQL = {
       select * from (select c_mktsegment, c_custkey, spent, row_number() over (partition by c_mktsegment order by spent desc, c_custkey)::int as place from customer join s on c_custkey = o_custkey) where place <= 5""",
     "regional_revenue": """with p as (select l_suppkey, sum(l_extendedprice * (1 - l_discount)) as revenue from lineitem group by 1)
       select r_name, n_name, round(sum(revenue), 2) as revenue, count(*) as suppliers from p join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""",
-    "idle_customers": "select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as balance from customer where not exists (select 1 from orders where o_custkey = c_custkey) group by 1",
+    "idle_customers": "select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as balance from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderdate >= timestamp '1997-01-01') group by 1",
 }
