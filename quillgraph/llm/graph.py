@@ -53,19 +53,18 @@ LEADERS = 3
 LARGE = 64
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], divide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], divide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the components of all verified links between nodes that share a bucket.
 
     buckets: (bucket, node); nodes: (node, *payload), a row for each node; near(x, y): a condition on the payloads of the
     frames aliased x and y that no verified link violates; verify(pairs (a, b)) keeps the pairs that are links;
     divide(members (bucket, node, root, *payload)): the same members in smaller buckets such that two that may be linked
-    still share one.
+    still share one; without it buckets stay as they are.
 
     First every member is held against the LEADERS members of its bucket that share most with others, which links most of a
     large group of copies by a few times as many pairs as it has members. Buckets that then are one component are done. Of
     the others those of more than LARGE members are divided, and in what remains pairs across components are tested inside
-    the join. Pairs within a component need no test, so no link that matters is lost, and no bucket of more than LARGE members
-    makes all its pairs before it is divided.
+    the join. Pairs within a component need no test, so no link that matters is lost.
     """
     own = Window.partitionBy("bucket")
     members = buckets.select("*", F.count("*").over(own).alias("size")).where("size > 1")
@@ -87,9 +86,9 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str,
     mixed = labelled.select("*", F.min("root").over(own).alias("_low"), F.max("root").over(own).alias("_high"), F.count("*").over(own).alias("size")).where("_low != _high")
     mixed = materialise(mixed.select("bucket", "node", "root", "size").join(nodes, "node"), "mixed")
     discard(members)
-    parts = [mixed.where(F.col("size") <= LARGE).drop("size")]
+    parts = [(mixed.where(F.col("size") <= LARGE) if divide else mixed).drop("size")]
     large = mixed.where(F.col("size") > LARGE).drop("size")
-    if not large.isEmpty():
+    if divide and not large.isEmpty():
         large = divide(large).select("*", F.min("root").over(own).alias("_low"), F.max("root").over(own).alias("_high")).where("_low != _high").drop("_low", "_high")
         parts.append(materialise(large, "divided"))
     pairs = None
