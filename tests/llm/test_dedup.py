@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -306,3 +307,25 @@ def test_quality_cuts_frequent_lines_out(spark):
     assert [got[i].n_removed_words for i in (0, 10, 11)] == [6, 0, 0] and got[0].kept
     plain = {r.doc_id: r for r in quality_rules.judge(df, min_docs=4, min_share=0.1).collect()}
     assert all("text" not in r and r.kept == got[i].kept and r.n_words == got[i].n_words for i, r in plain.items())
+
+
+def test_lines_to_compare_are_cut_out_before_they_are_shuffled(spark):
+    texts = [(n, "\n".join(f"line {i} of text {n}" for i in range(200))) for n in range(50)] + [(None, "a null id\nhas lines")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    places = [(7, 3), (7, 199), (11, 0), (None, 1)]
+    wanted = spark.createDataFrame(places, "_id long, line int").join(df, F.col("_id").eqNullSafe(F.col("doc_id"))).select("_id", F.xxhash64("text").alias("_text"), "line")
+    cut = line_dedup.lines_at(df, "doc_id", "text", wanted)
+    got = {(r._id, r.line): r.raw for r in cut.collect()}
+    by_id = dict(texts)
+    assert all(got[i, k] == by_id[i].split("\n")[k] for i, k in places)
+    assert len(got) < 20
+    # whole texts are in no exchange
+    assert "hashpartitioning(_slot" not in cut._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_only_what_the_result_reads_is_left_of_line_dedup(spark, tmp_path, monkeypatch):
+    left = []
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name, f=line_dedup.materialise: left.append(f(df, name)) or left[-1])
+    line_dedup.dedup_lines(spark.createDataFrame([(1, "one two three\none two three"), (2, "four five")], "doc_id long, text string")).collect()
+    kept = [x.scratch for x in left if os.path.exists(x.scratch.removeprefix("file://"))]
+    assert len(kept) == 1 and "removed-lines" in kept[0]
