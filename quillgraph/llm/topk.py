@@ -2,7 +2,7 @@
 
 Vectors are quantised to whole numbers. The index of a block of rows holds bitmaps: bit b of attribute j of all its rows, of
 the coarse value round(v / STEP) in two's complement. For a query the coarse values times its own are added up by bitmap
-arithmetic, as shifted slices. The k largest sums are found from the most significant slice downward, and all rows whose sum
+arithmetic: all bitmaps of one weight are added three by three. The k largest sums are found from the most significant slice downward, and all rows whose sum
 comes near enough to the k-th that the exact score might be among the k best are scored exactly. Rows and queries with a value
 of WIDE or more, whose sums might not fit a number, are scored exactly by themselves.
 """
@@ -19,27 +19,24 @@ from pyspark.sql import functions as F
 from .shared import bound_batches, materialise
 
 STEP = 16
-#: Rows of a block and queries of a block.
-ROWS, QUERIES = 8_192, 512
+#: Rows of a block and queries of a block. Long vectors lie in blocks of fewer rows: CELLS components, or LEAST_ROWS.
+ROWS, QUERIES = 32_768, 256
+CELLS, LEAST_ROWS = 1 << 21, 1_024
 #: Tasks wanted at least, where there are so many pairs of blocks.
-TASKS = 64
+TASKS = 32
 SCALE = 1024
 WIDE = 1 << 24
 #: Up to so many different lengths of vectors, a row for each of them is broadcast.
 FEW_LENGTHS = 10_000
 
 
-def _signed_digits(n: int) -> list[tuple[int, int]]:
-    """n as a sum of few powers of two: (exponent, sign)."""
-    out, e = [], 0
-    while n:
-        if n & 1:
-            d = 2 - (n & 3)
-            out.append((e, d))
-            n -= d
-        n >>= 1
-        e += 1
-    return out
+def _signed_digits(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weights as sums of few powers of two: attributes, exponents and whether a power is taken off."""
+    w = np.abs(weights)
+    up, down = (3 * w & ~w) >> 1, (w & ~(3 * w)) >> 1
+    at = np.arange(int((up | down).max(initial=0)).bit_length())
+    sign, exponent, attribute = np.nonzero((np.stack([up, down])[:, None, :] >> at[:, None]) & 1)
+    return attribute, exponent, (sign == 1) != (weights[attribute] < 0)
 
 
 class BitSlices:
@@ -50,13 +47,14 @@ class BitSlices:
         self.n, self.attributes = values.shape
         self.coarse = (values + STEP // 2) // STEP
         self.width = max(2, int(np.abs(self.coarse).max(initial=0)).bit_length() + 1)
-        bits = (self.coarse[:, :, None] >> np.arange(self.width)) & 1
-        packed = np.packbits(bits.astype(np.uint8).transpose(1, 2, 0), axis=2)
-        words = -(-self.n // 64)
+        words = self.words = -(-self.n // 64)
         padded = np.zeros((self.attributes, self.width, words * 8), np.uint8)
-        padded[:, :, : packed.shape[2]] = packed
-        self.slices = padded.view(np.uint64)
-        self.words = words
+        for b in range(self.width):
+            padded[:, b, : -(-self.n // 8)] = np.packbits(np.ascontiguousarray((self.coarse >> b & 1).astype(np.uint8).T), axis=1)
+        slices = padded.view(np.uint64)
+        # a value is the sum of these bits less 2 ** (width - 1); the second half, of complements, serves powers that are taken off
+        slices[:, -1] = ~slices[:, -1]
+        self.slices = np.concatenate([slices, ~slices]).reshape(-1, words)
         rest = values - self.coarse * STEP
         self.rest_norm, self.coarse_norm = np.sqrt((rest.astype(float) ** 2).sum(axis=1).max(initial=0)), np.sqrt((self.coarse.astype(float) ** 2).sum(axis=1).max(initial=0))
 
@@ -64,24 +62,42 @@ class BitSlices:
         """Slices (two's complement, least significant first) of the inner product of each row's coarse values with the weights."""
         most = int(np.abs(weights).sum()) << (self.width - 1)
         size = most.bit_length() + 2
+        attribute, exponent, less = _signed_digits(weights)
+        first = (attribute + less * self.attributes) * self.width
+        half = 1 << self.width - 1
+        constant = -sum(((half - 1 if n else half) << e) for e, n in zip(exponent.tolist(), less.tolist(), strict=True))
         total = np.zeros((size, self.words), np.uint64)
-        carry, t = np.empty(self.words, np.uint64), np.empty(self.words, np.uint64)
-        for j, w in enumerate(weights.tolist()):
-            for shift, sign in _signed_digits(w):
-                ones = ~np.uint64(0)
-                carry[:] = ones if sign < 0 else 0
-                own = self.slices[j]
-                for b in range(shift, size):
-                    k = b - shift
-                    # beyond the sign bit the sign goes on
-                    x = own[k] if k < self.width else own[-1]
-                    if sign < 0:
-                        x = ~x
-                    a = total[b]
-                    np.bitwise_xor(a, x, out=t)
-                    new = (a & x) | (carry & t)
-                    np.bitwise_xor(t, carry, out=total[b])
-                    carry = new
+        carries = np.empty((0, self.words), np.uint64)
+        for c in range(size):
+            # all bitmaps of weight 2 ** c, three by three; what they carry goes to the next weight
+            b = c - exponent
+            own = (first + b)[(b >= 0) & (b < self.width)]
+            one = constant >> c & 1
+            rows = np.empty((len(own) + len(carries) + one, self.words), np.uint64)
+            np.take(self.slices, own, axis=0, out=rows[: len(own)])
+            rows[len(own) : len(rows) - one] = carries
+            rows[len(rows) - one :] = ~np.uint64(0)
+            carries, used = np.empty((max(0, len(rows) - 1), self.words), np.uint64), 0
+            while len(rows) > 2:
+                k = len(rows) // 3
+                x, y, z = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
+                carry = carries[used : used + k]
+                used += k
+                np.bitwise_and(x, y, out=carry)
+                x ^= y
+                np.bitwise_and(x, z, out=y)
+                carry |= y
+                x ^= z
+                left = len(rows) - 3 * k
+                rows[k : k + left] = rows[3 * k :]
+                rows = rows[: k + left]
+            if len(rows) == 2:
+                np.bitwise_and(rows[0], rows[1], out=carries[used])
+                used += 1
+                rows[0] ^= rows[1]
+            carries = carries[:used]
+            if len(rows):
+                total[c] = rows[0]
         return total
 
     def at_least_kth(self, total: np.ndarray, k: int) -> np.ndarray:
@@ -185,8 +201,8 @@ def taking_part(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.size(x).alias("dims"), x.alias("x"))
 
 
-def _gathered(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """A row for each (dims, key) of rows (dims, key, vec_id, x): ids and vectors as bytes, numbers as 64-bit floats."""
+def _gathered(rows: DataFrame, key: str, total: int, kind: str) -> DataFrame:
+    """A row for each (dims, key) of rows (dims, key, vec_id, x): ids and vectors as bytes, numbers as floats of that kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors = None, [], []
@@ -207,7 +223,7 @@ def _gathered(rows: DataFrame, key: str, total: int) -> DataFrame:
                     now, ids, vectors = (dims[start], keys[start]), [], []
                 part = b.slice(start, end - start)
                 ids.append(np.asarray(part.column("vec_id")).astype("<i8").tobytes())
-                vectors.append(part.column("x").flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+                vectors.append(part.column("x").flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes())
         if now is not None:
             yield out()
 
@@ -232,14 +248,17 @@ def search(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id",
     rows = taking_part(df, vec_id, embedding)
     # a row for each different length
     sizes = rows.groupBy("dims").agg(F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"))
-    sizes = sizes.select("dims", F.ceil(F.col("rows") / ROWS).alias("blocks"), F.ceil(F.col("queries") / QUERIES).alias("groups"))
+    held = F.least(F.lit(ROWS), F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(CELLS) / F.greatest("dims", F.lit(1)))))
+    sizes = sizes.select("dims", F.ceil(F.col("rows") / held).alias("blocks"), F.ceil(F.col("queries") / QUERIES).alias("groups"))
     sizes = materialise(sizes, "vector-sizes")
     lengths, blocks, groups = sizes.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("groups"), F.lit(0))).first()
     sizes = sizes.withColumn("parts", F.greatest(F.lit(1), F.least("groups", F.ceil(F.lit(TASKS) / F.col("blocks")))).cast("long"))
     known = rows.join(F.broadcast(sizes) if lengths <= FEW_LENGTHS else sizes, "dims")
     number = F.monotonically_increasing_id()
-    index = _gathered(known.withColumn("block", F.pmod(number, "blocks")).select("dims", "block", "vec_id", "x"), "block", max(1, blocks))
-    asked = _gathered(known.where(F.col("vec_id") % every == 0).withColumn("group", F.pmod(number, "groups")).select("dims", "group", "vec_id", "x"), "group", max(1, groups))
+    # 32-bit floats stay as they are
+    kind = "<f4" if rows.schema["x"].dataType.elementType.typeName() == "float" else "<f8"
+    index = _gathered(known.withColumn("block", F.pmod(number, "blocks")).select("dims", "block", "vec_id", "x"), "block", max(1, blocks), kind)
+    asked = _gathered(known.where(F.col("vec_id") % every == 0).withColumn("group", F.pmod(number, "groups")).select("dims", "group", "vec_id", "x"), "group", max(1, groups), kind)
     index, asked = materialise(index, "vector-blocks"), materialise(asked, "query-blocks")
     by_dims = F.broadcast(sizes) if lengths <= FEW_LENGTHS else sizes
     index = index.join(by_dims, "dims").select("dims", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "ids", "vectors")
@@ -252,10 +271,10 @@ def search(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id",
             for r in b.to_pylist():
                 if (r["dims"], r["block"]) != last:
                     ids = np.frombuffer(r["ids"], "<i8")
-                    block, last = Block(ids, np.frombuffer(r["vectors"], "<f8").reshape(len(ids), r["dims"])), (r["dims"], r["block"])
+                    block, last = Block(ids, np.frombuffer(r["vectors"], kind).astype(float).reshape(len(ids), r["dims"])), (r["dims"], r["block"])
                 query_ids = np.frombuffer(r["query_ids"], "<i8")
                 found: list[tuple] = []
-                for q, x in zip(query_ids.tolist(), np.frombuffer(r["queries"], "<f8").reshape(len(query_ids), r["dims"]), strict=True):
+                for q, x in zip(query_ids.tolist(), np.frombuffer(r["queries"], kind).astype(float).reshape(len(query_ids), r["dims"]), strict=True):
                     best, score = block.best(q, x, k)
                     found.append((np.full(len(best), q), best, score))
                 cols = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int64), pa.int64()) for i in range(3)]

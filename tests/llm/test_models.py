@@ -276,3 +276,16 @@ def test_boundaries_of_many_lengths_are_optimal():
         best[0] = 0
     bounds = np.array(packing.boundaries(lengths, counts, 4))
     assert int((counts * (bounds[np.searchsorted(bounds, lengths)] - lengths)).sum()) == best[n]
+
+
+def test_slices_of_one_weight_are_added_together(monkeypatch):
+    """Sums over many attributes take few steps of arithmetic on whole matrices of bitmaps, not one for each bit."""
+    rng = np.random.default_rng(5)
+    values, weights = rng.integers(-900, 900, (1_000, 300)), rng.integers(-60, 60, 300)
+    b = topk.BitSlices(values)
+    calls = []
+    for name in ("bitwise_and", "bitwise_xor"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **k: calls.append(1) or f(*a, **k))
+    total = b.sums(weights)
+    assert len(calls) < 1_000
+    assert (b.values_of(total, np.arange(1_000)) == b.coarse @ weights).all()
