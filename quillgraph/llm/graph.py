@@ -86,8 +86,11 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[str,
     mixed = labelled.select("*", F.min("root").over(own).alias("_low"), F.max("root").over(own).alias("_high"), F.count("*").over(own).alias("size")).where("_low != _high")
     mixed = materialise(mixed.select("bucket", "node", "root", "size").join(nodes, "node"), "mixed")
     discard(members)
-    parts = [(mixed.where(F.col("size") <= LARGE) if divide else mixed).drop("size")]
-    large = mixed.where(F.col("size") > LARGE).drop("size")
+    # a table's columns may be null once read; where the payload's may not, conditions on it are less code
+    sure = {f.name for f in nodes.schema if not f.nullable and f.dataType.simpleString() == "bigint"}
+    whole = mixed.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in sure else c for c in mixed.columns])
+    parts = [(whole.where(F.col("size") <= LARGE) if divide else whole).drop("size")]
+    large = whole.where(F.col("size") > LARGE).drop("size")
     if divide and not large.isEmpty():
         large = divide(large).select("*", F.min("root").over(own).alias("_low"), F.max("root").over(own).alias("_high")).where("_low != _high").drop("_low", "_high")
         parts.append(materialise(large, "divided"))

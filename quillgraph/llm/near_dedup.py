@@ -23,18 +23,22 @@ PARITY = 2048
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
+_MULTIPLY, _ADD = (MULTIPLIERS >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (OFFSETS >> np.uint64(31)).astype(np.uint32)
 
 
 def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """SAMPLES minima of each set, none of them empty."""
-    flat = np.concatenate(sets)
+    """SAMPLES minima of each set, none of them empty, over the upper 32 bits of its hashes.
+
+    Equal shingles have equal samples, as with 64 bits; different ones that agree in 32 bits can only add candidates.
+    """
+    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     starts = np.cumsum(sizes) - sizes
     out = np.empty((len(sets), SAMPLES), np.uint64)
     buffer = np.empty_like(flat)
     for i in range(SAMPLES):
-        np.multiply(flat, MULTIPLIERS[i], out=buffer)
-        buffer += OFFSETS[i]
+        np.multiply(flat, _MULTIPLY[i], out=buffer)
+        buffer += _ADD[i]
         out[:, i] = np.minimum.reduceat(buffer, starts)
     return out
 
@@ -68,8 +72,17 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(len(sets), PARITY // 64)
 
 
+def _columns(name: str, bits: int) -> list[Column]:
+    """The longs of a sketch as columns that are never null.
+
+    The JVM compiles no method of more than 8,000 bytes of bytecode; a join's condition on arrays, or on columns that may be
+    null, is longer than that and then runs interpreted, ten times slower.
+    """
+    return [F.coalesce(F.get(name, F.lit(i)), F.lit(0)).alias(f"{name}{i}") for i in range(bits // 64)]
+
+
 def _differing(x: str, y: str, name: str, bits: int) -> Column:
-    return sum((F.bit_count(F.col(f"{x}.{name}")[i].bitwiseXOR(F.col(f"{y}.{name}")[i])) for i in range(bits // 64)), F.lit(0))
+    return sum((F.bit_count(F.col(f"{x}.{name}{i}").bitwiseXOR(F.col(f"{y}.{name}{i}"))) for i in range(bits // 64)), F.lit(0))
 
 
 def difference_limit(similarity: float) -> int:
@@ -116,37 +129,48 @@ def signatures(df: DataFrame, text: str, size: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-class Sieve:
-    """A bitmap of fixed size that knows the rows wanted later, and some others: it spares a shuffle of all texts."""
-
-    BITS = 1 << 23
+#: The bitmap of the texts wanted later has so many rows of 64 bits at most, whatever the input.
+SLOTS = 1 << 17
 
-    def __init__(self, keys: DataFrame):
-        at = F.pmod("key", F.lit(self.BITS)) + 1  # bitmap buckets begin with 1
-        parts = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-        self.bits = np.zeros(self.BITS // 8, np.uint8)  # BITS / 8 bytes at most come to the driver
-        for part, bits in parts.collect():
-            self.bits[(part - 1) * 4096 : (part - 1) * 4096 + len(bits)] |= np.frombuffer(bits, np.uint8)
 
-    def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        at = keys.astype(np.int64) % self.BITS
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts whose `key` (a long) wanted holds, and some others: a bitmap is broadcast, so other texts leave the scan neither for Python nor for a shuffle."""
+    slot, bit = F.pmod("key", F.lit(SLOTS)).alias("_slot"), F.shiftrightunsigned("key", 58).cast("int")
+    sieve = wanted.select(slot, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    held = texts.select("*", slot, bit.alias("_bit")).join(F.broadcast(sieve), "_slot")
+    return held.where(F.getbit("_bits", F.col("_bit")) == 1).select(*texts.columns)
 
 
-def shingles(df: DataFrame, text: str, size: int, sieve: Sieve) -> DataFrame:
-    """set_hi, set_lo and the sorted shingle hashes of those of df's texts whose `key` the sieve may hold."""
+def shingles(df: DataFrame, text: str, size: int) -> DataFrame:
+    """set_hi, set_lo and the sorted shingle hashes of df's texts."""
     bound_batches(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, text):
+            sets, keys = _sets(b.column(text), size)
+            offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([_signed([k[0] for k in keys]), _signed([k[1] for k in keys]), lists], names=["set_hi", "set_lo", "shingles"])
+
+    return df.select(text).mapInArrow(run, "set_hi bigint, set_lo bigint, shingles array<bigint>")
+
+
+def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """a and b of the pairs (a, b, sa, sb) whose full sets, each without repeats, are similar enough."""
+    bound_batches(pairs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(sieve.may_hold(batch.column("key").to_numpy(zero_copy_only=False))))
-            for b in text_slices([some], text):
-                sets, keys = _sets(b.column(text), size)
-                offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([_signed([k[0] for k in keys]), _signed([k[1] for k in keys]), lists], names=["set_hi", "set_lo", "shingles"])
+            (x, ax), (y, ay) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("sa"), batch.column("sb")))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                z = np.concatenate([x[ax[i] : ax[i + 1]], y[ay[i] : ay[i + 1]]])
+                z.sort()
+                both = int((z[1:] == z[:-1]).sum())
+                keep[i] = 100 * both >= percent * (len(z) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return df.select(text, "key").mapInArrow(run, "set_hi bigint, set_lo bigint, shingles array<bigint>")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -169,7 +193,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     classes = materialise(classes, "classes")
     first = rows.join(classes.select("node"), F.col("_row") == F.col("node"))
     first = materialise(first.select("node", "n_shingles", "set_hi", "set_lo", "_text", F.col(doc_id).alias("_id"), "sketch", "parity", "bands"), "class-signatures")
-    nodes = first.select("node", F.col("n_shingles").alias("n"), "sketch", "parity")
+    nodes = first.select("node", F.col("n_shingles").alias("n"), *_columns("sketch", BITS), *_columns("parity", PARITY))
     most = difference_limit(percent / 100)
 
     def near(x: str, y: str) -> Column:
@@ -180,14 +204,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         pairs = materialise(pairs, "candidates")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = materialise(first.join(wanted, "node").select("node", "_text", "_id", *key), "candidate-nodes")
-        sieve = Sieve(wanted.select(F.xxhash64("_id", "_text").alias("key")))
         texts = df.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.xxhash64(text)).alias("key"))
-        sets = shingles(texts, "text", size, sieve).dropDuplicates(key).join(wanted.select("node", *key), key).select("node", "shingles")
+        texts = sifted(texts, wanted.select(F.xxhash64("_id", "_text").alias("key")))
+        sets = shingles(texts, "text", size).dropDuplicates(key).join(wanted.select("node", *key), key).select("node", "shingles")
         sets = materialise(sets, "candidate-sets")
         y, x = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ba")
         held = pairs.join(y, "b").join(x, "a")
-        both = F.size(F.array_intersect("sa", "sb"))
-        links = materialise(held.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "set-links")
+        links = materialise(confirmed(held, percent), "set-links")
         discard(pairs, wanted, sets)
         return links
 

@@ -68,7 +68,9 @@ class Words:
             a, b = bounds[i], bounds[i + 1]
             if b - a:
                 s = np.sort(h[a:b])
-                out.append(s[np.r_[True, s[1:] != s[:-1]]] if b - a > 1 else s)
+                new = np.ones(b - a, bool)
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                out.append(s[new])
             elif self.counts[i]:
                 one = np.full(1, self.counts[i], np.uint64)
                 for k in range(self.first[i], self.first[i + 1]):

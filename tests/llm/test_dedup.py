@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import line_dedup, near_dedup, quality_rules
+from quillgraph.llm import graph, line_dedup, near_dedup, quality_rules
 from quillgraph.llm.graph import bucket_components, components
 from quillgraph.llm.shared import materialise
 
@@ -329,3 +329,25 @@ def test_only_what_the_result_reads_is_left_of_line_dedup(spark, tmp_path, monke
     line_dedup.dedup_lines(spark.createDataFrame([(1, "one two three\none two three"), (2, "four five")], "doc_id long, text string")).collect()
     kept = [x.scratch for x in left if os.path.exists(x.scratch.removeprefix("file://"))]
     assert len(kept) == 1 and "removed-lines" in kept[0]
+
+
+def test_near_copies_across_components_are_compared_by_compiled_code(spark, monkeypatch):
+    """The JVM leaves methods of more than 8,000 bytes of bytecode to its interpreter."""
+    held, sizes = graph.materialise, []
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # code of a plan not yet run is known without it only
+
+    def watching(df, name):
+        if name == "across":
+            text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+            sizes.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text)))
+        return held(df, name)
+
+    monkeypatch.setattr(graph, "materialise", watching)
+    try:
+        df = spark.createDataFrame(corpus(), "doc_id long, text string")
+        got = near_dedup.near_duplicates(df, size=3, percent=85).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == expected(corpus(), 3, 85)
+    assert sizes and max(sizes) < 8000
