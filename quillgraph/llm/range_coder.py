@@ -5,7 +5,7 @@ Each block starts from an empty model. The model predicts the next id by three o
 * order 2 and order 1: the id that last followed the two ids, the one id before, with a confidence of 0 to 3;
 * order 0: how often each id occurs in the block's first 64, 256, 1024, ... ids, as many as are already coded.
 
-An id is coded as one of four classes: the order-2 id, the order-1 id, an id that order 0 knows (with its frequency), or any
+An id is coded as one of four classes: the order-2 id (0 until there is one), the order-1 id, an id that order 0 knows (with its frequency), or any
 id (uniform). The classes' frequencies mix two adaptive counts, of the confidences and agreement of the predictions and of
 the two last classes, scaled to 2**16. One step of the coder narrows the range by the class and then by the id within it.
 
@@ -28,13 +28,22 @@ _ONES = 0x0001000100010001
 _RECIPROCAL = np.r_[0, (1 << 40) // np.arange(1, 1 << 16)]
 
 
+#: What a class adds to the four counts in a number.
+_STEP = np.array([2 << 16 * k for k in range(4)])
+
+
 class _Model:
+    """Its arrays are made once; a step writes into them."""
+
     def __init__(self, lanes: int):
         self.lane, self.lanes = np.arange(lanes), lanes
         self.table = np.zeros(2 * lanes * _SLOTS, np.int32)
         self.by_trust, self.by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 16, 2 * _ONES)
-        self.lane_slots, self.lane_trust, self.lane_past = self.lane * _SLOTS, self.lane * 32, self.lane * 16
-        self.slots, self.entries = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int32)
+        self.lane_slots, self.lane_trust, self.lane_past = np.stack([self.lane, self.lane + lanes]) * _SLOTS, self.lane * 32, self.lane * 16
+        self.slots, self.same, self.agree = np.empty((2, lanes), np.int64), np.empty((2, lanes), bool), np.empty(lanes, bool)
+        self.entries, self.guess, self.trust = np.empty((3, 2, lanes), np.int32)
+        self.context, self.small = np.empty(lanes, np.int32), np.empty(lanes, np.int8)
+        self.ca, self.cb, self.fa, self.fb, self.f, self.some, self.kind = np.empty((7, lanes), np.int64)
         self.p1 = self.p2 = np.zeros(lanes, np.int64)
         self.past = np.full(lanes, 15)
         self.shift = 0
@@ -45,40 +54,56 @@ class _Model:
         one, two = self.slots
         np.multiply(self.p1, 40503, out=one)
         np.multiply(self.p2, 0x85EBCA6B, out=two)
-        two += self.p1 * 0x9E3779B1
+        np.multiply(self.p1, 0x9E3779B1, out=self.some)
+        two += self.some
         one >>= 4
         two >>= 15
         self.slots &= _SLOTS - 1
         self.slots += self.lane_slots
-        two += self.lanes * _SLOTS
-        np.take(self.table, self.slots, out=self.entries, mode="clip")
-        self.guess, self.trust = self.entries & _ID, self.entries >> ID_BITS
-        self.ca = self.lane_trust + self.trust[1] * 8 + self.trust[0] * 2 + (self.guess[0] == self.guess[1])
-        self.cb = self.lane_past + self.past
-        f = self.by_trust.take(self.ca) + self.by_past.take(self.cb)
-        c = self.cum
+        self.table.take(self.slots, out=self.entries, mode="clip")
+        guess = np.bitwise_and(self.entries, _ID, out=self.guess)
+        trust = np.right_shift(self.entries, ID_BITS, out=self.trust)
+        np.equal(guess[0], guess[1], out=self.agree)
+        np.left_shift(trust[1], 2, out=self.context)
+        self.context += trust[0]
+        self.context <<= 1
+        self.context += self.agree
+        np.add(self.lane_trust, self.context, out=self.ca)
+        np.add(self.lane_past, self.past, out=self.cb)
+        self.by_trust.take(self.ca, out=self.fa, mode="clip")
+        self.by_past.take(self.cb, out=self.fb, mode="clip")
+        f, c = np.add(self.fa, self.fb, out=self.f), self.cum
         np.bitwise_and(f, 0xFFFF, out=c[1])
-        np.add(c[1], f >> 16 & 0xFFFF, out=c[2])
-        np.add(c[2], f >> 32 & 0xFFFF, out=c[3])
-        scale = _RECIPROCAL.take(c[3] + (f >> 48))
-        c[1:4] *= scale
+        for k in (2, 3):
+            f >>= 16
+            np.bitwise_and(f, 0xFFFF, out=self.some)
+            np.add(c[k - 1], self.some, out=c[k])
+        f >>= 16
+        f += c[3]
+        _RECIPROCAL.take(f, out=self.some, mode="clip")
+        c[1:4] *= self.some
         c[1:4] >>= 40 - _SCALE
 
-    def hits(self, x: np.ndarray) -> np.ndarray:
-        return (self.guess == x) & (self.trust > 0)
+    def compare(self, x32: np.ndarray) -> np.ndarray:
+        return np.equal(self.guess, x32, out=self.same)
 
     def update(self, x: np.ndarray, x32: np.ndarray, kind: np.ndarray) -> None:
-        more = 2 << (kind << 4)
-        self.by_trust[self.ca] = self.by_trust.take(self.ca) + more
-        self.by_past[self.cb] = self.by_past.take(self.cb) + more
-        same = self.guess == x32
-        trust = self.trust * same
-        trust -= trust == 3
+        """x32 has been compared."""
+        _STEP.take(kind, out=self.some, mode="clip")
+        self.fa += self.some
+        self.fb += self.some
+        self.by_trust[self.ca] = self.fa
+        self.by_past[self.cb] = self.fb
+        trust = self.trust
+        trust *= self.same
         trust += 1
+        np.minimum(trust, 3, out=trust)
         trust <<= ID_BITS
         trust += x32
         self.table[self.slots] = trust
-        self.past = (self.past << 2 | kind) & 15
+        self.past <<= 2
+        self.past |= kind
+        self.past &= 15
         self.p1, self.p2 = x, self.p1
 
     def count(self, ids: np.ndarray) -> None:
@@ -101,6 +126,27 @@ def _rebuild_at(t: int) -> bool:
     return t >= _FIRST and t & (t - 1) == 0 and t.bit_length() % 2 == 1
 
 
+def _known(m: _Model, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ids (steps x lanes): where an id begins within its class and its size less 1, and 1 for ids that order 0 doesn't know."""
+    chunk = np.ascontiguousarray(ids.T)
+    begin, extra, fresh = chunk.copy(), np.zeros(chunk.shape, np.int32), np.ones(chunk.shape, np.int8)
+    if m.shift:
+        # by id, 1 more than its place in the lane's sorted ids
+        place = np.zeros(1 << bits, np.int32)
+        more = np.zeros(m.sorted.shape[1] + 1, np.int32)
+        for i, row in enumerate(chunk):
+            place[m.sorted[i]] = m.first[i] + 1
+            at = place.take(row)
+            place[m.sorted[i]] = 0
+            new = np.equal(at, 0, out=fresh[i].view(bool))
+            np.subtract(m.many[i], 1, out=more[1:])
+            more.take(at, out=extra[i], mode="clip")
+            at -= 1
+            np.copyto(at, row, where=new)
+            begin[i] = at
+    return np.ascontiguousarray(begin.T), np.ascontiguousarray(extra.T), np.ascontiguousarray(fresh.T)
+
+
 def encode(ids: np.ndarray, bits: int) -> list[bytes]:
     """ids (steps x lanes, below 2**bits; bits up to ID_BITS) -> the code of each lane."""
     steps, lanes = ids.shape
@@ -108,45 +154,51 @@ def encode(ids: np.ndarray, bits: int) -> list[bytes]:
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
     # digits lie by place, then lane; the first takes a last carry
     digits, used = np.zeros((2 * steps + 8) * lanes, np.uint32), m.lane + lanes
-    start = many = None
+    at, c, part, rest, kind, some = np.empty(lanes, np.int64), np.empty(lanes, np.int64), np.empty(lanes, np.int64), np.empty(lanes, bool), m.kind, np.empty(lanes, np.int64)
     for t in range(steps):
-        if _rebuild_at(t):
-            m.count(ids[:t])
-            chunk = np.ascontiguousarray(ids[t : 4 * t].T)
-            start, many = np.empty(chunk.shape, np.int64), np.empty(chunk.shape, np.int64)
-            for i in range(lanes):
-                at = np.minimum(np.searchsorted(m.sorted[i], chunk[i]), t - 1)
-                start[i] = m.first[i].take(at)
-                many[i] = np.where(m.sorted[i].take(at) == chunk[i], m.many[i].take(at), 0)
-            start, many, base = np.ascontiguousarray(start.T), np.ascontiguousarray(many.T), t
+        if not t or _rebuild_at(t):
+            if t:
+                m.count(ids[:t])
+            begin, extra, fresh = _known(m, ids[t : 4 * t or _FIRST], bits)
+            base, shifts = t, np.array([0, 0, m.shift, bits])
         x = ids[t].astype(np.int64)
         m.predict()
-        hit = m.hits(ids[t])
-        known = many[t - base] if m.shift else 0
-        kind = np.where(hit[1], 0, np.where(hit[0], 1, 3 - (known > 0)))
-        at = kind * lanes + m.lane
-        c = m.cum.take(at)
+        # an untried guess is 0 and may be right
+        hit = m.compare(ids[t])
+        np.add(fresh[t - base], 2, out=kind)
+        np.copyto(kind, 1, where=hit[0])
+        np.copyto(kind, 0, where=hit[1])
+        np.multiply(kind, lanes, out=at)
+        at += m.lane
+        m.cum.take(at, out=c, mode="clip")
+        at += lanes
+        m.cum.take(at, out=part, mode="clip")
+        part -= c
         span >>= _SCALE
-        low += span * c
-        span *= m.cum.take(at + lanes) - c
-        rest = kind >= 2
-        third = kind == 2
-        r = span >> np.where(third, m.shift, np.where(rest, bits, 0))
-        if m.shift:
-            low += r * np.where(third, start[t - base], x * rest)
-            span = np.where(third, r * known, np.where(rest, r, span))
-        else:
-            low += r * (x * rest)
-            span = np.where(rest, r, span)
+        c *= span
+        low += c
+        span *= part
+        np.greater_equal(kind, 2, out=rest)
+        shifts.take(kind, out=some, mode="clip")
+        span >>= some
+        np.multiply(begin[t - base], rest, out=some)
+        some *= span
+        low += some
+        np.multiply(extra[t - base], rest, out=some)
+        some += 1
+        span *= some
         m.update(x, ids[t], kind)
         while True:
-            short = np.flatnonzero(span < _LEAST)
+            short = (span < _LEAST).nonzero()[0]
             if not len(short):
                 break
-            some, at = low.take(short), used.take(short)
-            digits[at] = some >> 32
-            used[short] = at + lanes
-            low[short] = (some & 0xFFFFFFFF) << 16
+            now, to = low.take(short), used.take(short)
+            digits[to] = now >> 32
+            to += lanes
+            used[short] = to
+            now &= 0xFFFFFFFF
+            now <<= 16
+            low[short] = now
             span[short] = span.take(short) << 16
     for k in (32, 16, 0):
         digits[used] = (low >> k) & (0xFFFF if k < 32 else 0xFFFFFFFF)
@@ -172,44 +224,57 @@ def decode(codes: list[bytes], steps: int, bits: int) -> np.ndarray:
     digits = np.ascontiguousarray(rows.T).ravel()
     span, used = np.full(lanes, _FULL), m.lane + 3 * lanes
     out = np.zeros((steps, lanes), np.int32)
+    edges, above, kind, at, c, part = np.empty((3, lanes), np.int64), np.empty((3, lanes), bool), m.kind, *np.empty((3, lanes), np.int64)
     for t in range(steps):
         if _rebuild_at(t):
             m.count(out[:t])
         m.predict()
         span >>= _SCALE
-        edges = m.cum[1:4] * span
-        kind = (off >= edges[0]).astype(np.int64) + (off >= edges[1]) + (off >= edges[2])
-        at = kind * lanes + m.lane
-        c = m.cum.take(at)
-        off -= span * c
-        span *= m.cum.take(at + lanes) - c
-        x = np.where(kind == 0, m.guess[1], m.guess[0]).astype(np.int64)
-        row = np.flatnonzero(kind >= 2)
-        third = kind.take(row) == 2
+        np.multiply(m.cum[1:4], span, out=edges)
+        over = np.greater_equal(off, edges, out=above).view(np.int8)
+        np.add(over[0], over[1], out=m.small)
+        m.small += over[2]
+        np.copyto(kind, m.small)
+        np.multiply(kind, lanes, out=at)
+        at += m.lane
+        m.cum.take(at, out=c, mode="clip")
+        at += lanes
+        m.cum.take(at, out=part, mode="clip")
+        part -= c
+        c *= span
+        off -= c
+        span *= part
+        x = m.guess[0].astype(np.int64)
+        np.copyto(x, m.guess[1], where=kind == 0)
+        row = (m.small >= 2).nonzero()[0]
+        third = m.small.take(row) == 2
         shift = np.where(third, m.shift, bits)
         r = span.take(row) >> shift
         here = off.take(row)
-        v = np.minimum(here // r, (1 << shift) - 1)
+        # numbers below 2**48: the quotient in floating point is never rounded up to the next integer
+        v = np.minimum((here / r).astype(np.int64), (1 << shift) - 1)
         begin, size = v, r
         if m.shift:
-            own = np.flatnonzero(third)
-            at = row.take(own) * m.sorted.shape[1] + v.take(own)
+            own = third.nonzero()[0]
+            of = row.take(own) * m.sorted.shape[1] + v.take(own)
             begin = v.copy()
-            begin[own] = m.first.take(at)
+            begin[own] = m.first.take(of)
             size = r.copy()
-            size[own] *= m.many.take(at)
-            v[own] = m.sorted.take(at)
+            size[own] *= m.many.take(of)
+            v[own] = m.sorted.take(of)
         off[row] = here - r * begin
         span[row] = size
         x[row] = v
         out[t] = x
+        m.compare(out[t])
         m.update(x, out[t], kind)
         while True:
-            short = np.flatnonzero(span < _LEAST)
+            short = (span < _LEAST).nonzero()[0]
             if not len(short):
                 break
-            at = used.take(short)
-            off[short] = (off.take(short) << 16) | digits.take(at, mode="clip")
-            used[short] = at + lanes
+            to = used.take(short)
+            off[short] = (off.take(short) << 16) | digits.take(to, mode="clip")
+            to += lanes
+            used[short] = to
             span[short] = span.take(short) << 16
     return out

@@ -102,6 +102,14 @@ def test_range_coder_round_trip(lanes, steps, bits, seed):
     assert (range_coder.decode(range_coder.encode(x, bits), steps, bits) == x).all()
 
 
+def test_an_untried_guess_is_taken_and_earlier_codes_are_read():
+    x = np.array([[0, 5], [0, 0], [7, 5], [0, 0], [0, 5], [7, 0]], np.int32)
+    codes = range_coder.encode(x, 19)
+    assert [len(c) for c in codes] == [8, 8]  # 16 and 12 bytes without the guess
+    for way in (codes, [bytes.fromhex("c0000155526d086199b061a900000000"), bytes.fromhex("c0002cccc8147aeb85000000")]):
+        assert (range_coder.decode(way, 6, 19) == x).all()
+
+
 def test_full_blocks_of_rare_classes():
     x = np.zeros((range_coder.BLOCK, 3), np.int32)
     x[-90:, 0] = np.random.default_rng(1).integers(0, 1 << 19, 90)
