@@ -323,6 +323,57 @@ def test_lines_to_compare_are_cut_out_before_they_are_shuffled(spark):
     assert "hashpartitioning(_slot" not in cut._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
 
 
+def generated(plan):
+    """Rows that each explode of an executed plan has made."""
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+    return own + [n for k in range(plan.children().size()) for n in generated(plan.children().apply(k))]
+
+
+def test_words_vote_in_groups_and_lose_no_vote(spark):
+    import xxhash
+
+    rng = random.Random(9)
+    lines = [[rng.choice("abcdefgh") * rng.randint(1, 8) + str(rng.randrange(90)) for _ in range(n)] for n in [*range(1, 20), 63, 64, 65, 900]]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lines)] + [(90, []), (91, None)], "id int, words array<string>").coalesce(1)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hashed = line_dedup.sim_hashes(df, ["id"])
+        rows = hashed._jdf.collectToPython() and generated(hashed._jdf.queryExecution().executedPlan())
+        got = {r.id: (r.lo, r.hi) for r in hashed.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    want = {}
+    for i, line in enumerate(lines):
+        half = [0, 0]
+        for k in range(line_dedup.CLASSES):
+            own = []
+            for w in line:
+                h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+                if (h - (h >> 63 << 64)) % line_dedup.CLASSES == k:
+                    own.append((h, max(1, min(4, len(w) - 2))))
+            for j in range(line_dedup.BITS):
+                ones = sum(weight for h, weight in own if h >> line_dedup.LANE * (j + 1) & 1)
+                half[k // line_dedup.HALF] |= (2 * ones > sum(weight for _, weight in own)) << line_dedup.LANE * j + k % line_dedup.HALF
+        want[i] = tuple(half)
+    assert got == want
+    assert rows and sum(rows) <= sum(-(-len(w) // 8) for w in lines) + 2
+
+
+def test_texts_are_hashed_once_and_not_for_each_line(spark):
+    df = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
+    plan = line_dedup.lines_of(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.index("Generate") < plan.index("xxhash64(")
+
+
+def test_a_line_just_below_the_length_compared_by_words_meets_one_above(spark):
+    line = " ".join(f"word{i:03d}" for i in range(31))
+    rows = [(1, line + " ende"), (2, line + " enderoderanders")]
+    assert [len(t) for _, t in rows] == [252, 263]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed_lines for r in got} == {1: 0, 2: 1}
+
+
 def test_only_what_the_result_reads_is_left_of_line_dedup(spark, tmp_path, monkeypatch):
     left = []
     monkeypatch.setattr(line_dedup, "materialise", lambda df, name, f=line_dedup.materialise: left.append(f(df, name)) or left[-1])
