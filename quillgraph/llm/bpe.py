@@ -29,6 +29,10 @@ from .shared import HEADS, eights, gather, span_hashes
 #: White space as the tokenizer files' regular expressions take it (Unicode White_Space).
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 NEVER = np.int32(2**31 - 1)
+#: Words of up to so many symbols are merged together; a place in one of them takes _PLACE bits beside a rank.
+SHORT = np.array([10, 16, 30])
+_PLACE = 5
+_IDLE = np.int32(2**31 - (1 << _PLACE))
 
 
 def byte_chars() -> list[str]:
@@ -56,21 +60,31 @@ class PairTable:
             pending, held, at = pending[~won], held[~won], (at[~won] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        at = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at >>= self.shift
+        return at.view(np.int64)
 
     def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The values; NEVER where there is none."""
-        keys = (left.astype(np.int64) << 32) | right
+        keys = left.astype(np.int64)
+        keys <<= 32
+        keys |= right
         at = self._slot(keys)
-        out, found = self.values[at], self.keys[at]
-        rest = np.flatnonzero((found != keys) & (found != -1))
-        out[found != keys] = NEVER
+        found = self.keys.take(at, mode="clip")
+        out = self.values.take(at, mode="clip")
+        other = found != keys
+        np.copyto(out, NEVER, where=other)
+        other &= found >= 0
+        rest = other.nonzero()[0]
+        at, wanted = at.take(rest), keys.take(rest)
         while len(rest):
-            at[rest] = (at[rest] + 1) & self.mask
-            found, wanted = self.keys[at[rest]], keys[rest]
-            hit = found == wanted
-            out[rest[hit]] = self.values[at[rest[hit]]]
-            rest = rest[~hit & (found != -1)]
+            at += 1
+            at &= self.mask
+            found = self.keys.take(at, mode="clip")
+            hit = (found == wanted).nonzero()[0]
+            out[rest.take(hit)] = self.values.take(at.take(hit))
+            on = ((found != wanted) & (found >= 0)).nonzero()[0]
+            rest, at, wanted = rest.take(on), at.take(on), wanted.take(on)
         return out
 
 
@@ -127,7 +141,74 @@ class Vocabulary:
     # -- exact merging -----------------------------------------------------------------------------------------------
 
     def merge_synchronously(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact ids of ragged words and how many each has; every word applies its lowest-ranked pair in each round."""
+        """Exact ids of ragged words and how many each has; every word applies its lowest-ranked pair in each round.
+
+        Words of up to SHORT[-1] symbols are merged as columns of a table, those of like lengths together; longer ones end to end.
+        """
+        starts, counts = np.cumsum(lengths) - lengths, np.zeros(len(lengths), np.int64)
+        if not len(symbols):
+            return np.empty(0, np.int32), counts
+        group = np.searchsorted(SHORT, lengths)
+        found = []
+        for k in np.flatnonzero(np.bincount(group)).tolist():
+            own = np.flatnonzero(group == k)
+            if k < len(SHORT):
+                ids, counts[own] = self._merge_columns(symbols, starts[own], lengths[own], SHORT[k])
+            else:
+                ids, counts[own] = self._merge_ragged(symbols[gather(starts[own], lengths[own])], lengths[own])
+            found.append((own, ids))
+        starts, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int32)
+        for own, ids in found:
+            out[gather(starts[own], counts[own])] = ids
+        return out, counts
+
+    def _merge_columns(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """merge_synchronously of words of at most `rows` symbols, one pair (the leftmost of its rank) in each round."""
+        n, end = len(starts), len(symbols) - 1
+        row = np.arange(rows + 2, dtype=np.int32)[:, None]
+        # a word's symbols from row 1 on, none around them; joined ones become -1, and what is left is linked
+        table = np.full((rows + 2, n), self.size, np.int32)
+        for r in range(rows):
+            np.copyto(table[r + 1], symbols.take(np.minimum(starts + r, end)), where=lengths > r)
+        after, before = (np.tile((row + k).astype(np.int8), (1, n)) for k in (1, -1))
+        # in each row the rank of its pair with the next one, then the row
+        keys = np.full((rows + 2, n), NEVER, np.int32)
+        keys[1:rows] = self._ranked(table[1:rows].ravel(), table[2 : rows + 1].ravel()).reshape(-1, n)
+        keys[1:rows] += row[1:rows]
+        done, word = np.empty((n, rows), np.int32), np.arange(n)
+        while len(word):
+            low = keys.min(axis=0)
+            busy = (low < _IDLE).nonzero()[0]
+            m = len(word)
+            if 4 * len(busy) < 3 * m:
+                idle = (low >= _IDLE).nonzero()[0]
+                done[word.take(idle)] = table[1:-1].take(idle, axis=1).T
+                table, after, before, keys = (x.take(busy, axis=1) for x in (table, after, before, keys))
+                word, low, busy, m = word.take(busy), low.take(busy), np.arange(len(busy)), len(busy)
+            elif len(busy) < m:
+                low = low.take(busy)
+            sym, nxt, prv, key = (x.reshape(-1) for x in (table, after, before, keys))
+            place = low & (1 << _PLACE) - 1
+            at = place * np.int64(m) + busy
+            gone = nxt.take(at) * np.int64(m) + busy
+            last, first = nxt.take(gone), prv.take(at)
+            right, left = last * np.int64(m) + busy, first * np.int64(m) + busy
+            made = self.made.take(low >> _PLACE)
+            sym[at], sym[gone], key[gone], nxt[at], prv[right] = made, -1, NEVER, last, place
+            ranked = self._ranked(np.concatenate([sym.take(left), made]), np.concatenate([made, sym.take(right)]))
+            key[left] = ranked[: len(at)] + first
+            key[at] = ranked[len(at) :] + place
+        left = (done >= 0) & (done != self.size)
+        return done[left], left.sum(axis=1)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pairs' ranks, with room for a place."""
+        ranks = np.minimum(self.ranks.get(left, right), _IDLE >> _PLACE)
+        ranks <<= _PLACE
+        return ranks
+
+    def _merge_ragged(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge_synchronously of words of any length, all pairs of a word's lowest rank in one round."""
         n = len(lengths)
         word = np.repeat(np.arange(n), lengths)
         symbols = symbols.copy()

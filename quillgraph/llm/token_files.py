@@ -43,7 +43,7 @@ def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes
     padded = np.zeros(n * block if n > 1 else steps, np.int32)
     padded[: len(ids)] = ids
     bits = max(1, int(ids.max(initial=0)).bit_length())
-    codes = range_coder.encode(padded.reshape(n, steps).T.copy(), bits) if n else []
+    codes = range_coder.encode(padded.reshape(n, steps).T, bits) if n else []
     raw = ids.astype("<u4")
     table = np.array([(len(raw[k : k + block]), len(c), zlib.crc32(raw[k : k + block].tobytes())) for k, c in zip(range(0, len(raw), block), codes, strict=True)], "<u4").reshape(-1, 3)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
