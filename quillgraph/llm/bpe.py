@@ -353,13 +353,17 @@ class HashRows:
 
     def __init__(self, bits: int = 16):
         self.bits, self.n = bits, 0
-        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self._empty()
+
+    def _empty(self) -> None:
+        # full, not zeros: numpy then asks for huge pages
+        self.keys, self.rows = np.full(1 << self.bits, 0, np.uint64), np.full(1 << self.bits, -1, np.int32)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         mask = (1 << self.bits) - 1
         at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.rows[at]
-        rest = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        out = self.rows.take(at, mode="clip")
+        rest = np.flatnonzero((self.keys.take(at, mode="clip") != keys) & (out >= 0))
         while len(rest):
             at[rest] = (at[rest] + 1) & mask
             out[rest] = self.rows[at[rest]]
@@ -375,7 +379,7 @@ class HashRows:
             while 2 * self.n > 1 << self.bits:
                 self.bits += 1
             self.bits += 1
-            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            self._empty()
         mask = (1 << self.bits) - 1
         at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         rows = rows.astype(np.int32)
@@ -474,7 +478,11 @@ class WordMemo:
     @staticmethod
     def _heads(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q = eights(data)
-        return q[starts] & HEADS[np.minimum(lengths, 8)], q[np.minimum(starts + 8, len(data))] & HEADS[np.clip(lengths - 8, 0, 8)]
+        first = q.take(starts)
+        first &= HEADS.take(lengths, mode="clip")
+        second = q.take(starts + 8, mode="clip")
+        second &= HEADS.take(lengths - 8, mode="clip")
+        return first, second
 
     def _add(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Rows of new words with their ids."""
@@ -495,7 +503,9 @@ class WordMemo:
     def _others(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Numbers of the words that are not the ones of their rows."""
         first, second = self._heads(data, starts, lengths)
-        same = (self.first[rows] == first) & (self.second[rows] == second) & (self.sizes[rows] == lengths)
+        same = self.first.take(rows) == first
+        same &= self.second.take(rows) == second
+        same &= self.sizes.take(rows) == lengths
         long = np.flatnonzero(same & (lengths > 16))
         if len(long):
             more = lengths[long] - 16
@@ -509,10 +519,15 @@ class WordMemo:
         out = self.table.get(keys).astype(np.int64)
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            fresh, where, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            rows = self._encoded(data, starts[missing[where]], lengths[missing[where]])
-            self.table.add(fresh, rows)
-            out[missing] = rows[back]
+            wanted = keys.take(missing)
+            order = wanted.argsort()
+            wanted = wanted.take(order)
+            new = np.ones(len(order), bool)
+            new[1:] = wanted[1:] != wanted[:-1]
+            where = missing.take(order[new])
+            rows = self._encoded(data, starts.take(where), lengths.take(where))
+            self.table.add(wanted[new], rows)
+            out[missing.take(order)] = np.repeat(rows, np.diff(new.nonzero()[0], append=len(order)))
         # words that share another's hash are encoded whenever they come
         if len(others := self._others(out, data, starts, lengths)):
             out[others] = self._encoded(data, starts[others], lengths[others])
@@ -527,7 +542,7 @@ class WordMemo:
             if not t:
                 continue
             low = v.normal(t) if v.lower else t
-            if ODD(low) or any(m in t for m in v.special_mark):
+            if not low.isascii() and ODD(low) or any(m in t for m in v.special_mark):
                 words = [w.encode("utf-8", "surrogatepass") for w in v.split(t)]
                 odd.append(i)
                 odd_raw += words
@@ -560,13 +575,17 @@ class WordMemo:
     def text_ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each text."""
         rows, sizes = self.texts(texts)
-        return self.ids[gather(self.starts[rows], self.counts[rows].astype(np.int64))], self._per_text(rows, sizes)
+        counts = self.counts.take(rows).astype(np.int64)
+        return self.ids.take(gather(self.starts.take(rows), counts)), self._per_text(counts, sizes)
 
     def text_counts(self, texts: list[str | None]) -> np.ndarray:
-        return self._per_text(*self.texts(texts))
+        rows, sizes = self.texts(texts)
+        return self._per_text(self.counts.take(rows), sizes)
 
-    def _per_text(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(self.counts[rows], dtype=np.int64)]
+    @staticmethod
+    def _per_text(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of the words' counts by text."""
+        total = np.r_[0, np.cumsum(counts, dtype=np.int64)]
         ends = np.cumsum(sizes)
         return total[ends] - total[ends - sizes]
 

@@ -227,9 +227,9 @@ def decode(codes: list[bytes], steps: int, bits: int) -> np.ndarray:
     # digits lie by place, then lane
     digits = np.ascontiguousarray(rows.T).ravel()
     span, used = np.full(lanes, _FULL), lane + 3 * lanes
-    out = np.zeros((steps, lanes), np.int32)
+    out = np.empty((steps, lanes), np.int32)
     # arrays are made once; a step writes into them
-    table = np.zeros(2 * lanes * _SLOTS, np.int32)
+    table = np.full(2 * lanes * _SLOTS, 0, np.int32)  # not zeros(): numpy asks for huge pages only if memory isn't zeroed by the system
     by_trust, by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 16, 2 * _ONES)
     lane_slots, lane_trust, lane_past = np.stack([lane, lane + lanes]) * _SLOTS, lane * 32, lane * 16
     slots, entries, guess, trust = np.empty((2, lanes), np.int64), *np.empty((3, 2, lanes), np.int32)
